@@ -1,0 +1,42 @@
+"""Broadcast only what has a checked size.
+
+``F.broadcast`` forces a side to be copied to every executor; a side that
+grows with the data would then eventually break the job.  The helper below
+reads Catalyst's size estimate of the optimized plan (file sizes scaled by
+the pruned columns; one row for a global aggregate) and hints a broadcast
+only under a limit.  Above the limit the join is left to the planner:
+a shuffled sort-merge join, which AQE may still turn into a broadcast when
+the runtime size of a finished stage turns out small.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default limit for a hinted broadcast; the session may override it with
+# ``mercato.broadcast.maxBytes``.
+DEFAULT_MAX_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` in bytes, or None if unavailable."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(stats.sizeInBytes().toString())
+    except Exception:  # e.g. a Connect session without the JVM handle
+        return None
+
+
+def max_broadcast_bytes(df: DataFrame) -> int:
+    conf = df.sparkSession.conf.get("mercato.broadcast.maxBytes", None)
+    return int(conf) if conf else DEFAULT_MAX_BYTES
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``F.broadcast(df)`` when its estimated size is at most ``max_bytes``."""
+    limit = max_bytes if max_bytes is not None else max_broadcast_bytes(df)
+    size = estimated_bytes(df)
+    if size is not None and size <= limit:
+        return F.broadcast(df)
+    return df

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reports read complete tables; none has a stream, watermark, window of
+event time or per-key state, so there is nothing to express with
+Structured Streaming.  The batch reports run unchanged on a snapshot
+(e.g. a ``foreachBatch`` sink can call any report on each new snapshot).
+"""
