@@ -30,120 +30,136 @@ twice-reviewed orders); they derive data, they do not subset the workload.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, IntegerType, StringType, TimestampNTZType
+from pyspark.sql import DataFrame, SparkSession
 
 from mercato.plans.broadcast import broadcast_if_small
 from mercato.sources.model import Tables
 
-MONEY = DecimalType(10, 2)
+# Declared schemas of the star tables that are read (given, never inferred:
+# inference would cost a Spark job per table on every bind).
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+# Fixed values of the binding (the oracle SQL repeats them).
 UNTRANSLATED_BRAND = "Brand#25"
 NULL_CATEGORY_SIZE = 50
 
-
-def _null(dtype) -> Column:
-    return F.lit(None).cast(dtype)
-
-
-def _hours(n: Column) -> Column:
-    return F.make_dt_interval(F.lit(0), n.cast("int"))
-
-
-def _days_hours(d: Column, h: Column) -> Column:
-    return F.make_dt_interval(d.cast("int"), h.cast("int"))
-
-
-def _places(nation: DataFrame, region: DataFrame) -> DataFrame:
-    """nation key -> (city, state); 25 x 5 rows by the star-schema spec."""
-    return (nation.join(broadcast_if_small(region), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("n_nationkey", F.col("n_name").alias("city"), F.col("r_name").alias("state")))
+# Projections as SQL expressions: one call per table instead of one per
+# column expression, which keeps binding cheap on the driver.
+_PRICE = "CAST(l_extendedprice AS DECIMAL(10,2))"
+_FREIGHT = "CAST(l_quantity AS DECIMAL(10,2))"
+_SCORE = "CAST(substring(o_orderpriority, 1, 1) AS INT)"
+
+_CUSTOMERS = [
+    "c_custkey AS customer_id",
+    "c_custkey div 2 AS customer_unique_id",
+    "CAST(NULL AS INT) AS customer_zip_code_prefix",
+    "city AS customer_city",
+    "state AS customer_state",
+]
+_SELLERS = [
+    "s_suppkey AS seller_id",
+    "CAST(NULL AS INT) AS seller_zip_code_prefix",
+    "city AS seller_city",
+    "state AS seller_state",
+]
+_PRODUCTS = [
+    "p_partkey AS product_id",
+    f"CASE WHEN p_size <> {NULL_CATEGORY_SIZE} THEN p_brand END AS product_category_name",
+    "CAST(NULL AS INT) AS product_name_lenght",
+    "CAST(NULL AS INT) AS product_description_lenght",
+    "CAST(NULL AS INT) AS product_photos_qty",
+    "CAST(NULL AS DECIMAL(10,2)) AS product_weight_g",
+    "CAST(NULL AS DECIMAL(10,2)) AS product_length_cm",
+    "CAST(NULL AS DECIMAL(10,2)) AS product_height_cm",
+    "CAST(NULL AS DECIMAL(10,2)) AS product_width_cm",
+]
+_ORDERS = [
+    "o_orderkey AS order_id",
+    "o_custkey AS customer_id",
+    "CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' "
+    "WHEN 'P' THEN 'canceled' END AS order_status",
+    "o_orderdate + make_dt_interval(0, CAST(o_orderkey % 24 AS INT)) "
+    "AS order_purchase_timestamp",
+    "CAST(NULL AS TIMESTAMP_NTZ) AS order_approved_at",
+    "CAST(NULL AS TIMESTAMP_NTZ) AS order_delivered_carrier_date",
+    "CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 97 <> 0 THEN o_orderdate + "
+    "make_dt_interval(CAST(1 + o_orderkey % 45 AS INT), CAST(o_orderkey * 5 % 24 AS INT)) "
+    "END AS order_delivered_customer_date",
+    "o_orderdate + make_dt_interval(30) AS order_estimated_delivery_date",
+]
+_REVIEW_TAIL = [
+    "CAST(NULL AS STRING) AS review_comment_title",
+    "CAST(NULL AS STRING) AS review_comment_message",
+    "CAST(NULL AS TIMESTAMP_NTZ) AS review_creation_date",
+    "CAST(NULL AS TIMESTAMP_NTZ) AS review_answer_timestamp",
+]
+_ITEMS = [
+    "l_orderkey AS order_id",
+    "l_linenumber AS order_item_id",
+    "l_partkey AS product_id",
+    "l_suppkey AS seller_id",
+    "l_shipdate AS shipping_limit_date",
+    f"{_PRICE} AS price",
+    f"{_FREIGHT} AS freight_value",
+]
+_PAYMENTS = [
+    "l_orderkey AS order_id",
+    "l_linenumber AS payment_sequential",
+    "l_returnflag AS payment_type",
+    "l_linenumber + 1 AS payment_installments",
+    f"CAST({_PRICE} + {_FREIGHT} AS DECIMAL(10,2)) AS payment_value",
+]
 
 
 def bind_star(spark: SparkSession, sf_dir: str) -> Tables:
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-    places = broadcast_if_small(_places(read("nation"), read("region")))
+        return spark.read.schema(STAR_SCHEMAS[name]).parquet(
+            f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-    customers = (read("customer")
-                 .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-                 .select(F.col("c_custkey").alias("customer_id"),
-                         F.expr("c_custkey div 2").alias("customer_unique_id"),
-                         _null(IntegerType()).alias("customer_zip_code_prefix"),
-                         F.col("city").alias("customer_city"),
-                         F.col("state").alias("customer_state")))
+    # nation key -> (city, state): 25 x 5 rows by the star-schema spec
+    nation, region = read("nation"), read("region")
+    places = broadcast_if_small(
+        nation.join(broadcast_if_small(region), nation["n_regionkey"] == region["r_regionkey"])
+        .selectExpr("n_nationkey", "n_name AS city", "r_name AS state"))
 
-    sellers = (read("supplier")
-               .join(places, F.col("s_nationkey") == F.col("n_nationkey"))
-               .select(F.col("s_suppkey").alias("seller_id"),
-                       _null(IntegerType()).alias("seller_zip_code_prefix"),
-                       F.col("city").alias("seller_city"),
-                       F.col("state").alias("seller_state")))
+    customer, supplier = read("customer"), read("supplier")
+    customers = (customer.join(places, customer["c_nationkey"] == places["n_nationkey"])
+                 .selectExpr(*_CUSTOMERS))
+    sellers = (supplier.join(places, supplier["s_nationkey"] == places["n_nationkey"])
+               .selectExpr(*_SELLERS))
 
     part = read("part")
-    products = part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_size") != NULL_CATEGORY_SIZE, F.col("p_brand"))
-         .alias("product_category_name"),
-        _null(IntegerType()).alias("product_name_lenght"),
-        _null(IntegerType()).alias("product_description_lenght"),
-        _null(IntegerType()).alias("product_photos_qty"),
-        *[_null(MONEY).alias(c) for c in ("product_weight_g", "product_length_cm",
-                                          "product_height_cm", "product_width_cm")])
-
-    translation = (part.select("p_brand").filter(F.col("p_brand") != UNTRANSLATED_BRAND)
-                   .distinct()
-                   .select(F.col("p_brand").alias("product_category_name"),
-                           F.regexp_replace("p_brand", "#", " ")
-                            .alias("product_category_name_english")))
+    products = part.selectExpr(*_PRODUCTS)
+    translation = (part.where(f"p_brand <> '{UNTRANSLATED_BRAND}'").select("p_brand").distinct()
+                   .selectExpr("p_brand AS product_category_name",
+                               "replace(p_brand, '#', ' ') AS product_category_name_english"))
 
     o = read("orders")
-    key, day = F.col("o_orderkey"), F.col("o_orderdate")
-    status = (F.when(F.col("o_orderstatus") == "F", "delivered")
-              .when(F.col("o_orderstatus") == "O", "shipped")
-              .when(F.col("o_orderstatus") == "P", "canceled"))
-    delivered = F.when((F.col("o_orderstatus") != "P") & (key % 97 != 0),
-                       day + _days_hours(1 + key % 45, key * 5 % 24))
-    orders = o.select(
-        key.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        status.alias("order_status"),
-        (day + _hours(key % 24)).alias("order_purchase_timestamp"),
-        _null(TimestampNTZType()).alias("order_approved_at"),
-        _null(TimestampNTZType()).alias("order_delivered_carrier_date"),
-        delivered.alias("order_delivered_customer_date"),
-        (day + _days_hours(F.lit(30), F.lit(0))).alias("order_estimated_delivery_date"))
-
-    score = F.substring("o_orderpriority", 1, 1).cast("int")
-    first_review = o.filter(key % 10 != 9).select(
-        (key * 2).alias("review_id"), key.alias("order_id"), score.alias("review_score"))
-    second_review = o.filter(key % 10 == 0).select(
-        (key * 2 + 1).alias("review_id"), key.alias("order_id"), (6 - score).alias("review_score"))
-    reviews = first_review.unionByName(second_review).select(
-        "review_id", "order_id", "review_score",
-        _null(StringType()).alias("review_comment_title"),
-        _null(StringType()).alias("review_comment_message"),
-        _null(TimestampNTZType()).alias("review_creation_date"),
-        _null(TimestampNTZType()).alias("review_answer_timestamp"))
+    orders = o.selectExpr(*_ORDERS)
+    first_review = o.where("o_orderkey % 10 <> 9").selectExpr(
+        "o_orderkey * 2 AS review_id", "o_orderkey AS order_id", f"{_SCORE} AS review_score")
+    second_review = o.where("o_orderkey % 10 = 0").selectExpr(
+        "o_orderkey * 2 + 1 AS review_id", "o_orderkey AS order_id",
+        f"6 - {_SCORE} AS review_score")
+    reviews = first_review.unionByName(second_review).selectExpr(
+        "review_id", "order_id", "review_score", *_REVIEW_TAIL)
 
     li = read("lineitem")
-    price = F.col("l_extendedprice").cast(MONEY)
-    freight = F.col("l_quantity").cast(MONEY)
-    items = li.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        price.alias("price"),
-        freight.alias("freight_value"))
-    payments = li.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("payment_sequential"),
-        F.col("l_returnflag").alias("payment_type"),
-        (F.col("l_linenumber") + 1).alias("payment_installments"),
-        (price + freight).cast(MONEY).alias("payment_value"))
+    items = li.selectExpr(*_ITEMS)
+    payments = li.selectExpr(*_PAYMENTS)
 
     return Tables(customers=customers, orders=orders, sellers=sellers, products=products,
                   items=items, payments=payments, reviews=reviews, translation=translation)
