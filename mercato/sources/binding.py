@@ -30,10 +30,14 @@ twice-reviewed orders); they derive data, they do not subset the workload.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.plans.broadcast import broadcast_if_small
-from mercato.sources.model import Tables
+from mercato.session import checkpoint_dir
+from mercato.sources.model import Tables, read_stored, write_marketplace
 
 # Declared schemas of the star tables that are read (given, never inferred:
 # inference would cost a Spark job per table on every bind).
@@ -163,3 +167,38 @@ def bind_star(spark: SparkSession, sf_dir: str) -> Tables:
 
     return Tables(customers=customers, orders=orders, sellers=sellers, products=products,
                   items=items, payments=payments, reviews=reviews, translation=translation)
+
+
+def _fingerprint(sf_dir: str) -> str:
+    """Identity of the input files (path, size, modification time)."""
+    h = hashlib.sha256()
+    for name in sorted(STAR_SCHEMAS):
+        f = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        st = os.stat(f) if os.path.exists(f) else None
+        h.update(f"{f}:{st.st_size if st else -1}:{st.st_mtime_ns if st else -1};".encode())
+    return h.hexdigest()[:16]
+
+
+def stored_star(spark: SparkSession, sf_dir: str, base: str | None = None) -> Tables:
+    """The bound model tables, stored once as Parquet and read back.
+
+    This is the load step of the model: the binding's conversions (decimal
+    money, derived statuses and timestamps) run once, and every report then
+    scans stored model columns, with filter pushdown on them and one scan
+    task per stored file.  The tables go to ``base`` or to the session's
+    shared checkpoint folder, keyed by the identity of the input files.
+    """
+    bound = bind_star(spark, sf_dir)
+    root = f"{(base or checkpoint_dir(spark)).rstrip('/')}/mercato-model-{_fingerprint(sf_dir)}"
+    marker = _hadoop_path(spark, f"{root}/_COMPLETE")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        write_marketplace(bound, root, files)
+        fs.create(marker, True).close()
+    return read_stored(spark, root, bound)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    """A Hadoop path, so the marker check works on any shared file system."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -86,3 +86,36 @@ def from_frames(spark: SparkSession, rows: dict[str, list]) -> Tables:
     """Tables built from in-memory rows with the declared schemas (hand fixtures)."""
     return Tables(**{_FIELD_OF[name]: spark.createDataFrame(rows.get(name, []), schema)
                      for name, schema in schemas.SCHEMAS.items()})
+
+
+# key columns used to spread each table over files when it is stored
+STORAGE_KEYS = {
+    "customers": "customer_id",
+    "orders": "order_id",
+    "sellers": "seller_id",
+    "products": "product_id",
+    "order_items": "order_id",
+    "order_payments": "order_id",
+    "order_reviews": "order_id",
+    "product_category_name_translation": "product_category_name",
+    "geolocation": "geolocation_zip_code_prefix",
+}
+
+
+def write_marketplace(tables: Tables, path: str, files: int) -> None:
+    """Store the model tables as Parquet under ``{path}/{table_name}``.
+
+    Each table is hash-partitioned by its key into ``files`` files, so a later
+    scan runs as ``files`` parallel tasks (and rows of one order sit in one file).
+    """
+    for name, df in tables.by_model_name().items():
+        (df.repartition(files, STORAGE_KEYS[name])
+         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}"))
+
+
+def read_stored(spark: SparkSession, path: str, like: Tables) -> Tables:
+    """Read tables written by ``write_marketplace`` with the schemas of ``like``
+    (given, not inferred)."""
+    return Tables(**{_FIELD_OF[name]: spark.read.schema(df.schema)
+                     .parquet(f"{path.rstrip('/')}/{name}")
+                     for name, df in like.by_model_name().items()})
