@@ -24,12 +24,8 @@ _PART_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row in
 POS = "_pos"
 
 
-def global_positions(df: DataFrame, order: list[Column], name: str = POS) -> DataFrame:
-    """``df`` plus a 1-based position ``name`` in the total order ``order``.
-
-    ``order`` should be a total order (end it with a key) for reproducible
-    positions among ties.
-    """
+def _positions(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
+    """(positioned rows, one-row total) for ``global_positions``."""
     checkpoint_dir(df.sparkSession)
     tagged = (df.orderBy(*order)
               .withColumn("_mid", F.monotonically_increasing_id())
@@ -42,9 +38,20 @@ def global_positions(df: DataFrame, order: list[Column], name: str = POS) -> Dat
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0))
                             .alias("_offset"))
-    return (tagged.join(F.broadcast(offsets), pid == F.col("_pid"))
-            .withColumn(name, F.col("_offset") + local + 1)
-            .drop("_mid", "_pid", "_offset"))
+    positioned = (tagged.join(F.broadcast(offsets), pid == F.col("_pid"))
+                  .withColumn(name, F.col("_offset") + local + 1)
+                  .drop("_mid", "_pid", "_offset"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
+    return positioned, total
+
+
+def global_positions(df: DataFrame, order: list[Column], name: str = POS) -> DataFrame:
+    """``df`` plus a 1-based position ``name`` in the total order ``order``.
+
+    ``order`` should be a total order (end it with a key) for reproducible
+    positions among ties.
+    """
+    return _positions(df, order, name)[0]
 
 
 def _int_div(a: Column, b: Column) -> Column:
@@ -67,8 +74,7 @@ def ntile_of_position(pos: Column, n: Column, tiles: int) -> Column:
 
 def scalable_ntile(df: DataFrame, order: list[Column], tiles: int, name: str) -> DataFrame:
     """``df`` plus ``name`` = NTILE(tiles) OVER (ORDER BY order) as bigint."""
-    positioned = global_positions(df, order)
-    total = positioned.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    positioned, total = _positions(df, order, POS)  # total: one row
     return (positioned.crossJoin(F.broadcast(total))
             .withColumn(name, ntile_of_position(F.col(POS), F.col("_total"), tiles)
                         .cast("bigint"))
