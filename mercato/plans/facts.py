@@ -1,4 +1,4 @@
-"""Shared intermediate results (the reference repeats them as CTE text).
+"""Shared intermediate results (the report SQL repeats them as CTE text).
 
 Each is aggregated by the key of the join that follows, before the join:
 Catalyst does not push a partial aggregate below a join by itself, and
