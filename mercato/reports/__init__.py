@@ -96,6 +96,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "integrity_orphan_product_categories": integrity.orphan_product_categories,
     "integrity_orphan_payments": integrity.orphan_payments,
     "integrity_null_violations_items": integrity.null_violations_items,
+    "integrity_report": integrity.constraint_summary,
 }
 
 __all__ = ["REPORTS"]

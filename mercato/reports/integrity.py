@@ -1,6 +1,7 @@
 """Integrity checks of the declared keys, registered as queries."""
 
-from mercato.operators.integrity import duplicate_keys, null_violations, orphans
+from mercato.operators.integrity import (duplicate_keys, integrity_report, null_violations,
+                                         orphans)
 from mercato.reports._common import *  # noqa: F401,F403
 
 
@@ -24,3 +25,9 @@ def null_violations_items(t: Tables) -> DataFrame:
     """Item rows with a NULL in a NOT NULL key column."""
     return null_violations(t.items, ["order_id", "order_item_id"]).select(
         "order_id", "order_item_id")
+
+
+def constraint_summary(t: Tables) -> DataFrame:
+    """One row per declared key, foreign key and NOT NULL set, with its
+    violation count."""
+    return integrity_report(t)
