@@ -94,8 +94,12 @@ def group_dense_rank(df: DataFrame, group_cols: list[str], value: str, name: str
 
     Distinct (group, value) pairs are positioned in one global sort; a pair's
     dense rank is its position minus the position of its group's first pair.
-    No task ever holds a whole group.
+    No task ever holds a whole group.  ``df`` is read twice (for the pairs and
+    for the join back), so it is checkpointed first: its upstream work runs
+    once, and a lost executor cannot force it to run again.
     """
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     g_names = [f"_g{i}" for i in range(len(group_cols))]
     val = F.col("_v")
     val_order = val.desc_nulls_last() if descending else val.asc_nulls_first()
