@@ -10,6 +10,8 @@ kept exactly.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +68,20 @@ def review_stats(t: Tables) -> DataFrame:
         F.count("review_score").alias("score_n"),
         F.count(F.lit(1)).alias("review_rows"))
     return per_order.join(t.orders.select("order_id"), "order_id")
+
+
+def with_city_collation(t: Tables, collation: str | None) -> Tables:
+    """``t`` with customer cities equal under ``collation`` (e.g.
+    'UNICODE_CI_AI': case- and accent-insensitive) replaced by one spelling,
+    the smallest in binary order.  None keeps binary comparison.  The city
+    list is a dimension (one row per distinct city), broadcast when small."""
+    if not collation:
+        return t
+    key = F.collate("customer_city", collation)
+    spelling = (t.customers.groupBy(key.alias("_city_key"))
+                .agg(F.min("customer_city").alias("_city")))
+    customers = (t.customers.join(broadcast_if_small(spelling),
+                                  key.eqNullSafe(F.col("_city_key")), "left")
+                 .withColumn("customer_city", F.col("_city"))
+                 .drop("_city_key", "_city"))
+    return dataclasses.replace(t, customers=customers)

@@ -101,8 +101,10 @@ def top_spenders(t: Tables, k: int = 5) -> DataFrame:
     return top.select(PERSON, as_double("total_spending").alias("total_spending"))
 
 
-def top_spenders_per_city(t: Tables, k: int = 3) -> DataFrame:
-    """Q59: spend per (city, person); DENSE_RANK <= k per city, rank shown."""
+def top_spenders_per_city(t: Tables, k: int = 3, city_collation: str | None = None) -> DataFrame:
+    """Q59: spend per (city, person); DENSE_RANK <= k per city, rank shown.
+    Cities compare binary unless ``city_collation`` is given."""
+    t = facts.with_city_collation(t, city_collation)
     spend = facts.spend_by(t, ["customer_city", PERSON])
     top = dense_rank_at_most(spend, ["customer_city"], [desc("total_spending")], k, "drank")
     return top.select("customer_city", PERSON,
@@ -200,9 +202,11 @@ def monthly_repeat_rate(t: Tables) -> DataFrame:
             .orderBy(asc("yearmonth")))
 
 
-def customer_scorecard(t: Tables) -> DataFrame:
+def customer_scorecard(t: Tables, city_collation: str | None = None) -> DataFrame:
     """Q66: per (person, city): distinct orders, spend, mean payment row
-    value, first/latest order, and the spend's DENSE_RANK in the city."""
+    value, first/latest order, and the spend's DENSE_RANK in the city.
+    Cities compare binary unless ``city_collation`` is given."""
+    t = facts.with_city_collation(t, city_collation)
     per_order = t.payments.groupBy("order_id").agg(
         F.sum("payment_value").alias("_sum"), F.count("payment_value").alias("_n"))
     per_cid = (per_order.join(t.orders.select("order_id", "customer_id", PURCHASE), "order_id")

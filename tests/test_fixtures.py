@@ -230,3 +230,12 @@ def test_integrity_checks(spark):
     assert report[("duplicate_key", "order_payments")] == 1
     assert report[("orphan", "order_payments")] == 2
     assert report[("not_null", "orders")] == 0
+
+
+def test_optional_city_collation_merges_spellings(t):
+    from mercato.plans.facts import with_city_collation
+    merged = with_city_collation(t, "UNICODE_CI_AI")
+    cities = dict(rows(merged.customers.select("customer_id", "customer_city")))
+    assert cities == {"c1": "São Paulo", "c2": "Rio", "c3": "São Paulo", "c4": "Rio"}
+    assert rows(advanced.top_spenders_per_city(t, city_collation="UNICODE_CI_AI")) == \
+        rows(advanced.top_spenders_per_city(t))
