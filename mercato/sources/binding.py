@@ -179,24 +179,29 @@ def _fingerprint(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
-def stored_star(spark: SparkSession, sf_dir: str, base: str | None = None) -> Tables:
+def stored_star(spark: SparkSession, sf_dir: str, base: str | None = None,
+                bucketed: bool = True) -> Tables:
     """The bound model tables, stored once as Parquet and read back.
 
     This is the load step of the model: the binding's conversions (decimal
     money, derived statuses and timestamps) run once, and every report then
     scans stored model columns, with filter pushdown on them and one scan
     task per stored file.  The tables go to ``base`` or to the session's
-    shared checkpoint folder, keyed by the identity of the input files.
+    shared checkpoint folder, keyed by the identity of the input files.  With
+    ``bucketed`` the order-keyed fact tables are bucketed by order_id (one
+    bucket per shuffle partition), so order-keyed joins skip the shuffle.
     """
     bound = bind_star(spark, sf_dir)
-    root = f"{(base or checkpoint_dir(spark)).rstrip('/')}/mercato-model-{_fingerprint(sf_dir)}"
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    layout = f"{_fingerprint(sf_dir)}_{files}{'b' if bucketed else ''}"
+    root = f"{(base or checkpoint_dir(spark)).rstrip('/')}/mercato-model-{layout}"
+    prefix = f"mercato_{layout}" if bucketed else None
     marker = _hadoop_path(spark, f"{root}/_COMPLETE")
     fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(marker):
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        write_marketplace(bound, root, files)
+        write_marketplace(bound, root, files, bucketed_as=prefix)
         fs.create(marker, True).close()
-    return read_stored(spark, root, bound)
+    return read_stored(spark, root, bound, bucketed_as=prefix, files=files)
 
 
 def _hadoop_path(spark: SparkSession, path: str):

@@ -102,20 +102,51 @@ STORAGE_KEYS = {
 }
 
 
-def write_marketplace(tables: Tables, path: str, files: int) -> None:
+# fact tables stored bucketed by order_id, so joins and aggregations on it
+# between them need no shuffle (same key, same bucket count)
+ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")
+
+
+def _table_name(prefix: str, name: str) -> str:
+    return f"{prefix}_{name}"
+
+
+def write_marketplace(tables: Tables, path: str, files: int,
+                      bucketed_as: str | None = None) -> None:
     """Store the model tables as Parquet under ``{path}/{table_name}``.
 
     Each table is hash-partitioned by its key into ``files`` files, so a later
-    scan runs as ``files`` parallel tasks (and rows of one order sit in one file).
+    scan runs as ``files`` parallel tasks.  With ``bucketed_as`` (a table name
+    prefix) the order-keyed fact tables are also registered as tables bucketed
+    by order_id into ``files`` buckets; the hash partitioning matches the
+    bucketing hash, so each bucket is written as one file.
     """
+    spark = tables.orders.sparkSession
     for name, df in tables.by_model_name().items():
-        (df.repartition(files, STORAGE_KEYS[name])
-         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}"))
-
-
-def read_stored(spark: SparkSession, path: str, like: Tables) -> Tables:
+        target = f"{path.rstrip('/')}/{name}"
+        writer = df.repartition(files, STORAGE_KEYS[name]).write.mode("overwrite")
+        if bucketed_as and name in ORDER_KEYED:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(bucketed_as, name)}")
+            (writer.bucketBy(files, "order_id").format("parquet").option("path", target)
+             .saveAsTable(_table_name(bucketed_as, name)))
+        else:
+            writer.parquet(target)
+
+
+def read_stored(spark: SparkSession, path: str, like: Tables,
+                bucketed_as: str | None = None, files: int | None = None) -> Tables:
     """Read tables written by ``write_marketplace`` with the schemas of ``like``
-    (given, not inferred)."""
-    return Tables(**{_FIELD_OF[name]: spark.read.schema(df.schema)
-                     .parquet(f"{path.rstrip('/')}/{name}")
-                     for name, df in like.by_model_name().items()})
+    (given, not inferred).  Bucketed tables are (re-)registered over their
+    files, since a session catalog does not outlive its session."""
+    out = {}
+    for name, df in like.by_model_name().items():
+        target = f"{path.rstrip('/')}/{name}"
+        if bucketed_as and name in ORDER_KEYED:
+            table = _table_name(bucketed_as, name)
+            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet "
+                      f"CLUSTERED BY (order_id) INTO {files} BUCKETS LOCATION '{target}'")
+            out[_FIELD_OF[name]] = spark.table(table)
+        else:
+            out[_FIELD_OF[name]] = spark.read.schema(df.schema).parquet(target)
+    return Tables(**out)
