@@ -31,7 +31,6 @@ twice-reviewed orders); they derive data, they do not subset the workload.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -169,14 +168,35 @@ def bind_star(spark: SparkSession, sf_dir: str) -> Tables:
                   items=items, payments=payments, reviews=reviews, translation=translation)
 
 
-def _fingerprint(sf_dir: str) -> str:
-    """Identity of the input files (path, size, modification time)."""
-    h = hashlib.sha256()
+def _input_status(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """(identity, total bytes) of the star files, via the Hadoop file system
+    so that any shared store works."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    h, total = hashlib.sha256(), 0
     for name in sorted(STAR_SCHEMAS):
-        f = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        st = os.stat(f) if os.path.exists(f) else None
-        h.update(f"{f}:{st.st_size if st else -1}:{st.st_mtime_ns if st else -1};".encode())
-    return h.hexdigest()[:16]
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            summary = fs.getContentSummary(path)
+            status = fs.getFileStatus(path)
+            size, mtime = summary.getLength(), status.getModificationTime()
+            total += size
+        else:
+            size, mtime = -1, -1
+        h.update(f"{name}:{size}:{mtime};".encode())
+    h.update(sf_dir.encode())
+    return h.hexdigest()[:16], total
+
+
+def storage_files(spark: SparkSession, input_bytes: int,
+                  target_bytes: int = 64 * 1024 * 1024) -> int:
+    """Files (and buckets) per stored table: enough for every core to scan,
+    about ``target_bytes`` of input each at scale, never more than the shuffle
+    partitions (so a bucketed side matches a shuffled side)."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_size = -(-input_bytes // target_bytes)
+    return max(1, min(partitions, max(spark.sparkContext.defaultParallelism, by_size)))
 
 
 def stored_star(spark: SparkSession, sf_dir: str, base: str | None = None,
@@ -192,8 +212,9 @@ def stored_star(spark: SparkSession, sf_dir: str, base: str | None = None,
     bucket per shuffle partition), so order-keyed joins skip the shuffle.
     """
     bound = bind_star(spark, sf_dir)
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    layout = f"{_fingerprint(sf_dir)}_{files}{'b' if bucketed else ''}"
+    identity, input_bytes = _input_status(spark, sf_dir)
+    files = storage_files(spark, input_bytes)
+    layout = f"{identity}_{files}{'b' if bucketed else ''}"
     root = f"{(base or checkpoint_dir(spark)).rstrip('/')}/mercato-model-{layout}"
     prefix = f"mercato_{layout}" if bucketed else None
     marker = _hadoop_path(spark, f"{root}/_COMPLETE")
