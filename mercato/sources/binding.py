@@ -200,7 +200,7 @@ def storage_files(spark: SparkSession, input_bytes: int,
 
 
 def stored_star(spark: SparkSession, sf_dir: str, base: str | None = None,
-                bucketed: bool = True) -> Tables:
+                bucketed: bool = False) -> Tables:
     """The bound model tables, stored once as Parquet and read back.
 
     This is the load step of the model: the binding's conversions (decimal
@@ -208,8 +208,9 @@ def stored_star(spark: SparkSession, sf_dir: str, base: str | None = None,
     scans stored model columns, with filter pushdown on them and one scan
     task per stored file.  The tables go to ``base`` or to the session's
     shared checkpoint folder, keyed by the identity of the input files.  With
-    ``bucketed`` the order-keyed fact tables are bucketed by order_id (one
-    bucket per shuffle partition), so order-keyed joins skip the shuffle.
+    ``bucketed`` the order-keyed fact tables are bucketed by order_id, so
+    order-keyed joins skip the shuffle; it is off by default because a hot
+    order would then be processed by one task (see ``write_marketplace``).
     """
     bound = bind_star(spark, sf_dir)
     identity, input_bytes = _input_status(spark, sf_dir)

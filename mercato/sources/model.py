@@ -88,20 +88,6 @@ def from_frames(spark: SparkSession, rows: dict[str, list]) -> Tables:
                      for name, schema in schemas.SCHEMAS.items()})
 
 
-# key columns used to spread each table over files when it is stored
-STORAGE_KEYS = {
-    "customers": "customer_id",
-    "orders": "order_id",
-    "sellers": "seller_id",
-    "products": "product_id",
-    "order_items": "order_id",
-    "order_payments": "order_id",
-    "order_reviews": "order_id",
-    "product_category_name_translation": "product_category_name",
-    "geolocation": "geolocation_zip_code_prefix",
-}
-
-
 # fact tables stored bucketed by order_id, so joins and aggregations on it
 # between them need no shuffle (same key, same bucket count)
 ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")
@@ -115,22 +101,25 @@ def write_marketplace(tables: Tables, path: str, files: int,
                       bucketed_as: str | None = None) -> None:
     """Store the model tables as Parquet under ``{path}/{table_name}``.
 
-    Each table is hash-partitioned by its key into ``files`` files, so a later
-    scan runs as ``files`` parallel tasks.  With ``bucketed_as`` (a table name
-    prefix) the order-keyed fact tables are also registered as tables bucketed
-    by order_id into ``files`` buckets; the hash partitioning matches the
-    bucketing hash, so each bucket is written as one file.
+    Rows are spread round-robin over ``files`` files, so a later scan runs as
+    parallel tasks and no key, however hot, makes one file large.  With
+    ``bucketed_as`` (a table name prefix) the order-keyed fact tables are
+    instead bucketed by order_id into ``files`` buckets and registered as
+    tables: order-keyed joins and aggregations between them then need no
+    shuffle, but each bucket is scanned by one task and AQE cannot split a
+    skewed join without a shuffle, so use it only where no order is hot.
     """
     spark = tables.orders.sparkSession
     for name, df in tables.by_model_name().items():
         target = f"{path.rstrip('/')}/{name}"
-        writer = df.repartition(files, STORAGE_KEYS[name]).write.mode("overwrite")
         if bucketed_as and name in ORDER_KEYED:
             spark.sql(f"DROP TABLE IF EXISTS {_table_name(bucketed_as, name)}")
-            (writer.bucketBy(files, "order_id").format("parquet").option("path", target)
+            # the hash partitioning matches the bucketing hash: one file per bucket
+            (df.repartition(files, "order_id").write.mode("overwrite")
+             .bucketBy(files, "order_id").format("parquet").option("path", target)
              .saveAsTable(_table_name(bucketed_as, name)))
         else:
-            writer.parquet(target)
+            df.repartition(files).write.mode("overwrite").parquet(target)
 
 
 def read_stored(spark: SparkSession, path: str, like: Tables,

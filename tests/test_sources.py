@@ -40,3 +40,14 @@ def test_stored_star_equals_bound_star(spark):
         expected = _rows(REPORTS[name](bound))
         assert _rows(REPORTS[name](stored)) == expected, name
         assert _rows(REPORTS[name](again)) == expected, name
+
+
+def test_bucketed_storage_gives_the_same_results(spark):
+    sf = "/root/testdata/sf0.001"
+    base = tempfile.mkdtemp(prefix="mercato-bucket-")
+    bound, stored = bind_star(spark, sf), stored_star(spark, sf, base=base, bucketed=True)
+    for name in SAMPLE:
+        assert _rows(REPORTS[name](stored)) == _rows(REPORTS[name](bound)), name
+    plan = REPORTS["q25_avg_review_by_category"](stored)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "Bucketed: true" in plan
