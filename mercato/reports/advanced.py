@@ -143,11 +143,10 @@ def customer_revenue_share(t: Tables) -> DataFrame:
     """Q62: spend per person and its percentage of the joined total (a
     one-row aggregate broadcast to all rows, not an unpartitioned window)."""
     spend = person_spend(t)
-    total = spend.agg(F.sum("total_spending").alias("_total"))  # one row
-    return (spend.crossJoin(F.broadcast(total))
-            .select(PERSON, as_double("total_spending").alias("total_spending"),
-                    rounded_ratio(cents("total_spending") * 100, cents("_total"))
-                    .alias("revenue_contribution_pct"))
+    total = spend.agg(F.sum("total_spending")).scalar()  # scalar subquery
+    return (spend.select(PERSON, as_double("total_spending").alias("total_spending"),
+                         rounded_ratio(cents("total_spending") * 100, cents(total))
+                         .alias("revenue_contribution_pct"))
             .orderBy(desc("total_spending"), asc(PERSON)))
 
 

@@ -28,11 +28,10 @@ def dataset_period(t: Tables) -> DataFrame:
 def order_status_distribution(t: Tables) -> DataFrame:
     """Q3: orders per status and their percentage of all orders."""
     counts = t.orders.groupBy("order_status").agg(F.count("order_id").alias("order_count"))
-    total = t.orders.agg(F.count(F.lit(1)).alias("_all"))  # one row
-    return (counts.crossJoin(F.broadcast(total))
-            .select("order_status", "order_count",
-                    rounded_ratio(F.col("order_count") * 100, F.col("_all"))
-                    .alias("order_percentage"))
+    total = t.orders.agg(F.count(F.lit(1))).scalar()  # scalar subquery
+    return (counts.select("order_status", "order_count",
+                          rounded_ratio(F.col("order_count") * 100, total)
+                          .alias("order_percentage"))
             .orderBy(desc("order_percentage"), asc("order_status")))
 
 

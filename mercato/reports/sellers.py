@@ -10,13 +10,16 @@ def aov_per_seller_as_written(t: Tables, n: int = 10) -> DataFrame:
     seller in an order meets the (seller, order) totals of ALL sellers of that
     order.  Per (order, seller): item rows and price sum (combined map-side);
     per order: the sum and count of non-NULL totals, as a window over the
-    sellers of one order; per seller: sum(rows x order sum) / sum(rows x count)."""
+    sellers of one order; per seller: sum(rows x order sum) / sum(rows x count).
+    The order level is an aggregate joined back rather than a window, so an
+    order with very many sellers is combined map-side and its join can be
+    split by AQE."""
     per_pair = (t.items.filter(F.col("order_id").isNotNull())
                 .groupBy("order_id", "seller_id")
                 .agg(F.count(F.lit(1)).alias("_rows"), F.sum("price").alias("_total")))
-    by_order = Window.partitionBy("order_id")
-    weighted = (per_pair.withColumn("_osum", F.sum("_total").over(by_order))
-                .withColumn("_on", F.count("_total").over(by_order)))
+    per_order = per_pair.groupBy("order_id").agg(
+        F.sum("_total").alias("_osum"), F.count("_total").alias("_on"))
+    weighted = per_pair.join(per_order, "order_id")
     out = weighted.groupBy("seller_id").agg(
         mean(F.sum(F.col("_rows") * F.col("_osum")), F.sum(F.col("_rows") * F.col("_on")))
         .alias("avg_order_value"))
