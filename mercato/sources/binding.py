@@ -31,12 +31,13 @@ twice-reviewed orders); they derive data, they do not subset the workload.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.plans.broadcast import broadcast_if_small
 from mercato.session import checkpoint_dir
-from mercato.sources.model import Tables, read_stored, write_marketplace
+from mercato.sources.model import ORDER_KEYED, Tables, read_stored, write_marketplace
 
 # Declared schemas of the star tables that are read (given, never inferred:
 # inference would cost a Spark job per table on every bind).
@@ -221,11 +222,27 @@ def stored_star(spark: SparkSession, sf_dir: str, base: str | None = None,
     marker = _hadoop_path(spark, f"{root}/_COMPLETE")
     fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(marker):
-        write_marketplace(bound, root, files, bucketed_as=prefix)
-        fs.create(marker, True).close()
+        root = _publish(spark, fs, bound, root, files, prefix)
     return read_stored(spark, root, bound, bucketed_as=prefix, files=files)
 
 
+def _publish(spark: SparkSession, fs, bound: Tables, root: str, files: int,
+             prefix: str | None) -> str:
+    """Write the tables to a fresh folder, mark it complete, then rename it to
+    ``root``, so a reader never sees half-written tables.  If another writer
+    got there first, the fresh (complete) folder is used as it is."""
+    fresh = f"{root}.tmp-{uuid.uuid4().hex}"
+    write_marketplace(bound, fresh, files, bucketed_as=prefix)
+    if prefix:  # tables registered at the fresh folder are registered again by read_stored
+        for name in ORDER_KEYED:
+            spark.sql(f"DROP TABLE IF EXISTS {prefix}_{name}")
+    fs.create(_hadoop_path(spark, f"{fresh}/_COMPLETE"), True).close()
+    target = _hadoop_path(spark, root)
+    if not fs.exists(target) and fs.rename(_hadoop_path(spark, fresh), target):
+        return root
+    return fresh
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     """A Hadoop path, so the marker check works on any shared file system."""
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
