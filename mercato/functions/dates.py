@@ -13,22 +13,27 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
+# Output formats the reports define.
+MONTH_NAME_PATTERN = "MMMM"  # full English month name, e.g. 'January'
+WEEKDAY_NAME_PATTERN = "EEEE"  # full English weekday name, e.g. 'Sunday'
+YEAR_MONTH_PATTERN = "yyyy-MM"  # e.g. '2018-01'
+
 
 def _c(col: ColumnOrName) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def month_name(ts: ColumnOrName) -> Column:
-    return F.date_format(_c(ts), "MMMM")
+    return F.date_format(_c(ts), MONTH_NAME_PATTERN)
 
 
 def weekday_name(ts: ColumnOrName) -> Column:
-    return F.date_format(_c(ts), "EEEE")
+    return F.date_format(_c(ts), WEEKDAY_NAME_PATTERN)
 
 
 def year_month(ts: ColumnOrName) -> Column:
     """'yyyy-MM' label of a timestamp."""
-    return F.date_format(_c(ts), "yyyy-MM")
+    return F.date_format(_c(ts), YEAR_MONTH_PATTERN)
 
 
 def month_start(ts: ColumnOrName) -> Column:

@@ -18,7 +18,11 @@ from mercato.plans import facts  # noqa: F401
 from mercato.plans.broadcast import broadcast_if_small  # noqa: F401
 from mercato.sources.model import Tables  # noqa: F401
 
-DELIVERED = "delivered"
+# These must equal the report definitions for right results.
+DELIVERED = "delivered"  # order_status of completed orders
+DELAYED = "Delayed"  # Q49 label: delivered after the estimated date
+ON_TIME = "On-Time"  # Q49 label: everything else
+DAYS_PER_YEAR = 365  # Q2 divides the day span by 365
 
 
 def desc(col: str):

@@ -21,7 +21,7 @@ def dataset_period(t: Tables) -> DataFrame:
     span = t.orders.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
     return span.select(F.to_date("first_ts").alias("first_date"),
                        F.to_date("last_ts").alias("last_date"),
-                       rounded_ratio(day_diff("last_ts", "first_ts"), F.lit(365))
+                       rounded_ratio(day_diff("last_ts", "first_ts"), F.lit(DAYS_PER_YEAR))
                        .alias("time_period_yrs"))
 
 

@@ -73,9 +73,9 @@ def review_score_by_delivery_status(t: Tables) -> DataFrame:
     estimate) and 'On-Time' (everything else, undated included); review rows
     and mean score rounded to 2."""
     status = F.when(F.col("order_delivered_customer_date")
-                    > F.col("order_estimated_delivery_date"), F.lit("Delayed")) \
-        .otherwise(F.lit("On-Time"))
-    delivered = (t.orders.filter(F.col("order_status") == "delivered")
+                    > F.col("order_estimated_delivery_date"), F.lit(DELAYED)) \
+        .otherwise(F.lit(ON_TIME))
+    delivered = (t.orders.filter(F.col("order_status") == DELIVERED)
                  .select("order_id", status.alias("delivery_status")))
     per_review = t.reviews.groupBy("order_id").agg(
         F.sum("review_score").alias("score_sum"), F.count("review_score").alias("score_n"),
