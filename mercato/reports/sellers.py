@@ -9,11 +9,10 @@ def aov_per_seller_as_written(t: Tables, n: int = 10) -> DataFrame:
     """Q24, keeping the source's join on order_id only: every item row of a
     seller in an order meets the (seller, order) totals of ALL sellers of that
     order.  Per (order, seller): item rows and price sum (combined map-side);
-    per order: the sum and count of non-NULL totals, as a window over the
-    sellers of one order; per seller: sum(rows x order sum) / sum(rows x count).
-    The order level is an aggregate joined back rather than a window, so an
-    order with very many sellers is combined map-side and its join can be
-    split by AQE."""
+    per order: the sum and count of non-NULL totals, an aggregate joined back
+    (not a window, so an order with very many sellers is combined map-side
+    and its join can be split by AQE); per seller:
+    sum(rows x order sum) / sum(rows x count)."""
     per_pair = (t.items.filter(F.col("order_id").isNotNull())
                 .groupBy("order_id", "seller_id")
                 .agg(F.count(F.lit(1)).alias("_rows"), F.sum("price").alias("_total")))
