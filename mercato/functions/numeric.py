@@ -54,3 +54,9 @@ def rounded_ratio(num: ColumnOrName, den: ColumnOrName, digits: int = 2) -> Colu
     q = F.when(ad != 0, F.call_function("div", an * (2 * scale) + ad, ad * 2))
     signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
     return as_double(signed) / scale
+
+
+def percent_of(part: ColumnOrName, whole: ColumnOrName, digits: int = 2) -> Column:
+    """round(part * 100 / whole, digits) from exact integral inputs (counts,
+    cents); NULL when ``whole`` is 0."""
+    return rounded_ratio(_c(part) * 100, whole, digits)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.functions.numeric import percent_of
+
 
 def with_previous(df: DataFrame, period: str, value: str, name: str) -> DataFrame:
     """``df`` plus ``name`` = LAG(value) OVER (ORDER BY period)."""
@@ -17,6 +19,17 @@ def with_previous(df: DataFrame, period: str, value: str, name: str) -> DataFram
     return df.withColumn(name, F.lag(value).over(w))
 
 
+def period_growth(df: DataFrame, period: str, value: str, previous: str, growth: str,
+                  exact=None) -> DataFrame:
+    """``df`` plus the previous present period's ``value`` (``previous``) and
+    round((value - previous) * 100 / previous, 2) (``growth``); the first
+    period has NULLs.  ``exact`` maps a value column to an exact integral
+    column (e.g. ``cents`` for money); counts are used as they are."""
+    exact = exact or F.col
+    lagged = with_previous(df, period, value, previous)
+    return lagged.withColumn(growth, percent_of(exact(value) - exact(previous), exact(previous)))
+
+
 def running_total(df: DataFrame, period: str, value: str, name: str) -> DataFrame:
     """``df`` plus ``name`` = SUM(value) OVER (ORDER BY period) with the
     default RANGE frame (peers included)."""

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window  # noqa: F401
 from pyspark.sql import functions as F  # noqa: F401
 
 from mercato.functions import (as_double, as_long, cents, day_diff, mean, month_name,  # noqa: F401
-                               month_start, rounded_ratio, weekday_name, year_month)
+                               month_start, percent_of, rounded_ratio, weekday_name,
+                               year_month)
 from mercato.operators.ranking import (dense_rank_at_most, group_dense_rank,  # noqa: F401
                                        lag_by_position, latest_per_key, scalable_ntile, top_n)
 from mercato.plans import facts  # noqa: F401

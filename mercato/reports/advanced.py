@@ -8,7 +8,7 @@ rank filter), a per-group aggregate joined back, or global positions
 """
 
 from mercato.reports._common import *  # noqa: F401,F403
-from mercato.operators.timeseries import running_total, with_previous
+from mercato.operators.timeseries import period_growth, running_total
 from mercato.reports.revenue import category_revenue
 
 ENGLISH = "product_category_name_english"
@@ -65,23 +65,19 @@ def monthly_revenue(t: Tables) -> DataFrame:
 def monthly_revenue_growth(t: Tables) -> DataFrame:
     """Q55: revenue per month, the previous present month's revenue and the
     growth percentage (first month NULL)."""
-    rev = with_previous(monthly_revenue(t), "yearmonth", "revenue", "prev_month_revenue")
-    growth = rounded_ratio((cents("revenue") - cents("prev_month_revenue")) * 100,
-                           cents("prev_month_revenue"))
+    rev = period_growth(monthly_revenue(t), "yearmonth", "revenue", "prev_month_revenue",
+                        "growth_rate", exact=cents)
     return rev.select("yearmonth", as_double("revenue").alias("revenue"),
                       as_double("prev_month_revenue").alias("prev_month_revenue"),
-                      growth.alias("growth_rate"))
+                      "growth_rate")
 
 
 def monthly_order_growth(t: Tables) -> DataFrame:
     """Q56: orders per month, the previous present month's count and growth."""
     counts = t.orders.groupBy(year_month(PURCHASE).alias("yearmonth")).agg(
         F.count("order_id").alias("month_orders"))
-    prev = with_previous(counts, "yearmonth", "month_orders", "prev_month_orders")
-    growth = rounded_ratio((F.col("month_orders") - F.col("prev_month_orders")) * 100,
-                           F.col("prev_month_orders"))
-    return prev.select("yearmonth", "month_orders", "prev_month_orders",
-                       growth.alias("growth_rate"))
+    return period_growth(counts, "yearmonth", "month_orders", "prev_month_orders",
+                         "growth_rate")
 
 
 def latest_order_per_customer(t: Tables) -> DataFrame:
@@ -145,7 +141,7 @@ def customer_revenue_share(t: Tables) -> DataFrame:
     spend = person_spend(t)
     total = spend.agg(F.sum("total_spending")).scalar()  # scalar subquery
     return (spend.select(PERSON, as_double("total_spending").alias("total_spending"),
-                         rounded_ratio(cents("total_spending") * 100, cents(total))
+                         percent_of(cents("total_spending"), cents(total))
                          .alias("revenue_contribution_pct"))
             .orderBy(desc("total_spending"), asc(PERSON)))
 
@@ -195,8 +191,7 @@ def monthly_repeat_rate(t: Tables) -> DataFrame:
     monthly = flagged.groupBy(year_month("_month").alias("yearmonth")).agg(
         F.count(PERSON).alias("total_customers"), F.count(repeat).alias("repeat_customers"))
     return (monthly.select("yearmonth", "total_customers", "repeat_customers",
-                           rounded_ratio(F.col("repeat_customers") * 100,
-                                         F.col("total_customers"))
+                           percent_of("repeat_customers", "total_customers")
                            .alias("repeat_customer_pct"))
             .orderBy(asc("yearmonth")))
 

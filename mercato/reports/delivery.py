@@ -130,6 +130,6 @@ def monthly_delay_rate(t: Tables) -> DataFrame:
         F.count("order_id").alias("_all"),
         F.count(F.when(F.col("late"), F.col("order_id"))).alias("_late"))
     return (per_month.select("year", "month",
-                             rounded_ratio(F.col("_late") * 100, F.col("_all"))
+                             percent_of("_late", "_all")
                              .alias("delayed_percentage"))
             .orderBy(desc("delayed_percentage"), asc("year"), asc("month")))

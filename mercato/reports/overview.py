@@ -30,7 +30,7 @@ def order_status_distribution(t: Tables) -> DataFrame:
     counts = t.orders.groupBy("order_status").agg(F.count("order_id").alias("order_count"))
     total = t.orders.agg(F.count(F.lit(1))).scalar()  # scalar subquery
     return (counts.select("order_status", "order_count",
-                          rounded_ratio(F.col("order_count") * 100, total)
+                          percent_of("order_count", total)
                           .alias("order_percentage"))
             .orderBy(desc("order_percentage"), asc("order_status")))
 

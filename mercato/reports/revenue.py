@@ -136,6 +136,6 @@ def state_revenue_share(t: Tables) -> DataFrame:
     return (states.select("customer_state",
                           as_double("total_spending").alias("state_revenue"),
                           as_double(total).alias("total_revenue"),
-                          rounded_ratio(cents("total_spending") * 100, cents(total))
+                          percent_of(cents("total_spending"), cents(total))
                           .alias("percentage_contribution"))
             .orderBy(desc("percentage_contribution"), asc("customer_state")))
