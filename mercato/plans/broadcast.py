@@ -40,3 +40,34 @@ def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame
     if size is not None and size <= limit:
         return F.broadcast(df)
     return df
+
+
+def dimension_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str],
+                   salts: int | None = None, null_safe: bool = False) -> DataFrame:
+    """Inner equi-join of ``big`` with a dimension ``small`` on ``on``.
+
+    Dimensions here have few distinct keys (categories, states, cities), so
+    one key may carry a third of ``big``.  A broadcast join never groups by
+    key; it is used when the size estimate of ``small`` is under the limit.
+    Otherwise the join is salted: each ``big`` row gets a salt from a hash of
+    ``spread_by`` (its own key, so the salt is stable under recomputation),
+    ``small`` is repeated once per salt, and the join runs on (key, salt), so
+    a hot key is spread over ``salts`` tasks (default: the shuffle
+    partitions).  ``on`` columns have the same names on both sides; the
+    result keeps ``big``'s.  ``null_safe`` also matches NULL keys.
+    """
+    dim = small.select(*[F.col(c).alias(f"_dim_{c}") if c in on else F.col(c)
+                         for c in small.columns])
+    cond = F.lit(True)
+    for k in on:
+        cond = cond & (F.col(k).eqNullSafe(F.col(f"_dim_{k}")) if null_safe
+                       else F.col(k) == F.col(f"_dim_{k}"))
+    size = estimated_bytes(small)
+    if size is not None and size <= max_broadcast_bytes(small):
+        joined = big.join(F.broadcast(dim), cond)
+    else:
+        n = salts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(n)))
+        salted_dim = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        joined = salted_big.join(salted_dim, cond & (F.col("_salt") == F.col("_dim_salt")))
+    return joined.drop(*[f"_dim_{k}" for k in on], "_salt", "_dim_salt")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.dates import day_diff
-from mercato.plans.broadcast import broadcast_if_small
+from mercato.plans.broadcast import broadcast_if_small, dimension_join
 from mercato.sources.model import Tables
 
 
@@ -27,10 +27,10 @@ def order_totals(t: Tables) -> DataFrame:
 
 def english_categories(t: Tables) -> DataFrame:
     """product_id, product_category_name_english (inner: untranslated and
-    NULL categories drop out).  The translation table has one row per
-    category, so it is broadcast when its estimate is small."""
-    return (t.products.select("product_id", "product_category_name")
-            .join(broadcast_if_small(t.translation), "product_category_name")
+    NULL categories drop out).  Few categories may carry most products, so
+    the translation is joined as a dimension (broadcast or salted)."""
+    return (dimension_join(t.products.select("product_id", "product_category_name"),
+                           t.translation, ["product_category_name"], ["product_id"])
             .select("product_id", "product_category_name_english"))
 
 
@@ -78,10 +78,8 @@ def with_city_collation(t: Tables, collation: str | None) -> Tables:
     if not collation:
         return t
     key = F.collate("customer_city", collation)
-    spelling = (t.customers.groupBy(key.alias("_city_key"))
-                .agg(F.min("customer_city").alias("_city")))
-    customers = (t.customers.join(broadcast_if_small(spelling),
-                                  key.eqNullSafe(F.col("_city_key")), "left")
-                 .withColumn("customer_city", F.col("_city"))
-                 .drop("_city_key", "_city"))
+    keyed = t.customers.withColumn("_city_key", key)
+    spelling = keyed.groupBy("_city_key").agg(F.min("customer_city").alias("_city"))
+    customers = (dimension_join(keyed, spelling, ["_city_key"], ["customer_id"], null_safe=True)
+                 .withColumn("customer_city", F.col("_city")).drop("_city_key", "_city"))
     return dataclasses.replace(t, customers=customers)

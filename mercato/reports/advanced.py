@@ -162,11 +162,11 @@ def spend_vs_state_average(t: Tables) -> DataFrame:
     and the rounded difference.  The state mean is a grouped aggregate joined
     back (one row per state), not a window holding a state's persons."""
     spend = facts.spend_by(t, [PERSON, "customer_state"])
-    states = spend.groupBy(F.col("customer_state").alias("_state")).agg(
+    states = spend.groupBy("customer_state").agg(
         F.sum("total_spending").alias("_ssum"), F.count("total_spending").alias("_sn"))
-    # one row per state: broadcast when the estimate says it is small
-    joined = spend.join(broadcast_if_small(states),
-                        F.col("customer_state").eqNullSafe(F.col("_state")))
+    # one row per state, and a state may hold a third of all persons: joined as
+    # a dimension (broadcast or salted), NULL state included
+    joined = dimension_join(spend, states, ["customer_state"], [PERSON], null_safe=True)
     diff = rounded_ratio(cents("total_spending") * F.col("_sn") - cents("_ssum"),
                          F.col("_sn") * 100)
     return (joined.select(PERSON, "customer_state",

@@ -61,3 +61,19 @@ def test_lag_by_position_matches_window(spark, hot):
     ours = lag_by_position(df, ["g"], order, "id", "prev").select("id", "prev")
     ref = df.select("id", F.lag("id").over(Window.partitionBy("g").orderBy(*order)).alias("prev"))
     assert sorted(ours.collect()) == sorted(ref.collect())
+
+
+@pytest.mark.parametrize("limit", [None, "0"])
+def test_dimension_join_broadcast_and_salted_agree(spark, limit):
+    from mercato.plans.broadcast import dimension_join
+    big = spark.createDataFrame(_values(500, 17, "hot"), "id long, g string, v int")
+    small = spark.createDataFrame([("hot", 1), ("g1", 2), (None, 3)], "g string, w int")
+    if limit:
+        spark.conf.set("mercato.broadcast.maxBytes", limit)  # force the salted path
+    try:
+        got = dimension_join(big, small, ["g"], ["id"], salts=7, null_safe=True)
+        ref = big.join(small, big["g"].eqNullSafe(small["g"])).select(big["id"], big["g"],
+                                                                      big["v"], small["w"])
+        assert sorted(got.select("id", "g", "v", "w").collect()) == sorted(ref.collect())
+    finally:
+        spark.conf.unset("mercato.broadcast.maxBytes")
