@@ -241,3 +241,37 @@ def test_optional_city_collation_merges_spellings(t):
     assert cities == {"c1": "São Paulo", "c2": "Rio", "c3": "São Paulo", "c4": "Rio"}
     assert rows(advanced.top_spenders_per_city(t, city_collation="UNICODE_CI_AI")) == \
         rows(advanced.top_spenders_per_city(t))
+
+
+def test_q25_q27_item_by_review_fan_out(t):
+    # o1: two items of pA (beleza) and one of pB (beleza2) x reviews 5 and 3;
+    # o5: pB x review 4; o2 and o4 have no review; pC has no category
+    assert rows(reviews.avg_review_by_category(t)) == [("beauty", 4.0)]
+    assert rows(reviews.avg_review_by_state(t)) == [("RJ", 2.5), ("SP", 4.0)]
+
+
+def test_q26_q37_seller_reviews_and_distinct_order_threshold(t):
+    # s1: 2 items x (5, 3) on o1 + 1 item x (1) on o3 -> 17 / 5
+    assert rows(reviews.avg_review_by_seller(t)) == [("s1", 3.4), ("s2", 4.0), ("s3", 4.0)]
+    assert rows(reviews.avg_review_by_seller_min_orders(t, min_orders=2)) == [("s1", 3.4)]
+
+
+def test_limit_ties_cut_by_key(t):
+    # units: s1 3, s2 2, s3 1, s4 1 -> the third place goes to s3
+    assert [tuple(r) for r in revenue.top_sellers_by_units(t, n=3).collect()] == [
+        ("s1", 3), ("s2", 2), ("s3", 1)]
+
+
+def test_null_in_not_null_column_is_reported(spark):
+    df = spark.createDataFrame([(None, 1), ("o1", None), ("o2", 2)],
+                               "order_id string, order_item_id int")
+    assert len(integrity.null_violations(df, ["order_id", "order_item_id"]).collect()) == 2
+
+
+def test_growth_after_a_zero_month_is_null(spark):
+    from mercato.operators.timeseries import period_growth
+    months = spark.createDataFrame([("2020-01", 0), ("2020-02", 10), ("2020-04", 5)],
+                                   "yearmonth string, n long")
+    got = rows(period_growth(months, "yearmonth", "n", "prev", "growth"))
+    assert got == [("2020-01", 0, None, None), ("2020-02", 10, 0, None),
+                   ("2020-04", 5, 10, -50.0)]
