@@ -39,29 +39,37 @@ def null_violations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def integrity_report(tables: Tables) -> DataFrame:
-    """One row per declared constraint: (check, table_name, columns, violations)."""
+    """One row per declared constraint: (check, table_name, columns, violations).
+
+    Duplicate keys and NOT NULL violations of a table come from one
+    aggregation by its key (one pass and one shuffle per table); each foreign
+    key is one anti join.
+    """
     named = tables.by_model_name()
     parts = []
-
-    def count_of(df: DataFrame, check: str, table: str, cols: list[str]) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit(check).alias("check"), F.lit(table).alias("table_name"),
-            F.lit(",".join(cols)).alias("columns"), "violations")
-
     for table, keys in schemas.PRIMARY_KEYS.items():
-        if table in named:
-            dups = duplicate_keys(named[table], keys)
-            parts.append(dups.agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0))
-                                  .alias("violations"))
-                         .select(F.lit("duplicate_key").alias("check"),
-                                 F.lit(table).alias("table_name"),
-                                 F.lit(",".join(keys)).alias("columns"),
-                                 F.col("violations").cast("bigint").alias("violations")))
+        if table not in named:
+            continue
+        not_null = schemas.NOT_NULL.get(table, [])
+        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in not_null]) \
+            if not_null else F.lit(False)
+        per_key = named[table].groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.count(F.when(any_null, 1)).alias("_nulls"))
+        totals = per_key.agg(
+            F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n") - 1)), F.lit(0)).alias("_dup"),
+            F.coalesce(F.sum("_nulls"), F.lit(0)).alias("_null"))
+        rows = [F.struct(F.lit("duplicate_key").alias("check"), F.lit(",".join(keys)).alias("columns"),
+                         F.col("_dup").cast("bigint").alias("violations"))]
+        if not_null:
+            rows.append(F.struct(F.lit("not_null").alias("check"),
+                                 F.lit(",".join(not_null)).alias("columns"),
+                                 F.col("_null").cast("bigint").alias("violations")))
+        parts.append(totals.select(F.explode(F.array(*rows)).alias("_r")).select(
+            "_r.check", F.lit(table).alias("table_name"), "_r.columns", "_r.violations"))
     for child, ckey, parent, pkey in schemas.FOREIGN_KEYS:
         if child in named and parent in named:
-            parts.append(count_of(orphans(named[child], named[parent], ckey, pkey),
-                                  "orphan", child, [ckey]))
-    for table, cols in schemas.NOT_NULL.items():
-        if table in named and cols:
-            parts.append(count_of(null_violations(named[table], cols), "not_null", table, cols))
+            bad = orphans(named[child], named[parent], ckey, pkey)
+            parts.append(bad.agg(F.count(F.lit(1)).alias("violations")).select(
+                F.lit("orphan").alias("check"), F.lit(child).alias("table_name"),
+                F.lit(ckey).alias("columns"), "violations"))
     return reduce(DataFrame.unionByName, parts)
