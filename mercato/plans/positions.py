@@ -75,9 +75,11 @@ def ntile_of_position(pos: Column, n: Column, tiles: int) -> Column:
 def scalable_ntile(df: DataFrame, order: list[Column], tiles: int, name: str) -> DataFrame:
     """``df`` plus ``name`` = NTILE(tiles) OVER (ORDER BY order) as bigint."""
     positioned, total = _positions(df, order, POS)
-    n = total.scalar()  # scalar subquery over one row per sorted partition
-    return (positioned.withColumn(name, ntile_of_position(F.col(POS), n, tiles).cast("bigint"))
-            .drop(POS))
+    # scalar subquery over one row per sorted partition, projected once
+    with_n = positioned.withColumn("_total", total.scalar())
+    return (with_n.withColumn(name, ntile_of_position(F.col(POS), F.col("_total"), tiles)
+                              .cast("bigint"))
+            .drop(POS, "_total"))
 
 
 def _null_safe_equal(pairs: list[tuple[str, str]]) -> Column:

@@ -139,10 +139,11 @@ def customer_revenue_share(t: Tables) -> DataFrame:
     """Q62: spend per person and its percentage of the joined total (a
     one-row aggregate broadcast to all rows, not an unpartitioned window)."""
     spend = person_spend(t)
-    total = spend.agg(F.sum("total_spending")).scalar()  # scalar subquery
-    return (spend.select(PERSON, as_double("total_spending").alias("total_spending"),
-                         percent_of(cents("total_spending"), cents(total))
-                         .alias("revenue_contribution_pct"))
+    total = spend.agg(F.sum("total_spending")).scalar()  # scalar subquery, projected once
+    return (spend.withColumn("_total", total)
+            .select(PERSON, as_double("total_spending").alias("total_spending"),
+                    percent_of(cents("total_spending"), cents("_total"))
+                    .alias("revenue_contribution_pct"))
             .orderBy(desc("total_spending"), asc(PERSON)))
 
 

@@ -28,10 +28,10 @@ def dataset_period(t: Tables) -> DataFrame:
 def order_status_distribution(t: Tables) -> DataFrame:
     """Q3: orders per status and their percentage of all orders."""
     counts = t.orders.groupBy("order_status").agg(F.count("order_id").alias("order_count"))
-    total = t.orders.agg(F.count(F.lit(1))).scalar()  # scalar subquery
-    return (counts.select("order_status", "order_count",
-                          percent_of("order_count", total)
-                          .alias("order_percentage"))
+    total = t.orders.agg(F.count(F.lit(1))).scalar()  # scalar subquery, projected once
+    return (counts.withColumn("_all", total)
+            .select("order_status", "order_count",
+                    percent_of("order_count", "_all").alias("order_percentage"))
             .orderBy(desc("order_percentage"), asc("order_status")))
 
 

@@ -132,10 +132,11 @@ def state_revenue_share(t: Tables) -> DataFrame:
     """Q51: state revenue, the total of ALL payments (joined or not) and the
     state's percentage of it."""
     states = facts.spend_by(t, ["customer_state"])
-    total = t.payments.agg(F.sum("payment_value")).scalar()  # scalar subquery
-    return (states.select("customer_state",
-                          as_double("total_spending").alias("state_revenue"),
-                          as_double(total).alias("total_revenue"),
-                          percent_of(cents("total_spending"), cents(total))
-                          .alias("percentage_contribution"))
+    total = t.payments.agg(F.sum("payment_value")).scalar()  # scalar subquery, projected once
+    return (states.withColumn("_total", total)
+            .select("customer_state",
+                    as_double("total_spending").alias("state_revenue"),
+                    as_double("_total").alias("total_revenue"),
+                    percent_of(cents("total_spending"), cents("_total"))
+                    .alias("percentage_contribution"))
             .orderBy(desc("percentage_contribution"), asc("customer_state")))
