@@ -55,16 +55,18 @@ _POWERS = _Powers()
 def pieces(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray,
            most: int = PIECE_BYTES):
     """(begin, end) of consecutive pieces of about ``most`` bytes, cut at a
-    text's end or behind a separator; a longer word stays whole."""
+    text's end, or within a longer text behind a separator; a longer word
+    stays whole."""
     at, end = 0, len(data)
     while at < end:
         to = min(at + most, end)
         while to < end:
             last = int(offsets[np.searchsorted(offsets, to, "right") - 1])
-            found = np.flatnonzero(separators[data[at:to]])
-            cut = max(last, at + int(found[-1]) + 1 if len(found) else 0)
-            if cut > at:
-                to = cut
+            if last <= at:
+                found = np.flatnonzero(separators[data[at:to]])
+                last = at + int(found[-1]) + 1 if len(found) else at
+            if last > at:
+                to = last
                 break
             to = min(to + most, end)
         yield at, to

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mercato.llm import bpe
+from mercato.llm import bpe, langid
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -23,8 +24,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary).drop("text")
 
 
+def learned_profiles(spark: SparkSession, sf_dir: str) -> langid.Profiles:
+    """Profiles of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    training = docs.where(~langid.held_out(F.col("doc_id")))
+    return langid.Profiles.collect(langid.learn(training))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
+    return langid.predict(docs, learned_profiles(spark, sf_dir)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op6_langid": op6_langid,
 }
 
 #: DuckDB statements for the queries that SQL can express.
