@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, langid
+from mercato.llm import bpe, langid, ordinal
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -38,9 +38,32 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, learned_profiles(spark, sf_dir)).drop("text")
 
 
+#: Grades of the ratings: 0 of poor quality, 1 toxic, 2 neither.
+GRADES = 3
+#: A document is kept if it is at least as likely as this to have grade 2.
+LEAST_P = 0.5
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> ordinal.Model:
+    """The classifier learned from ``labels``."""
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1)
+        .when(F.col("quality") == 1, 2).alias("grade"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ordinal.fit(docs.join(labels, "doc_id"), GRADES)
+
+
+def op9_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and chance of the best grade for each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    graded = ordinal.predict(docs, quality_model(spark, sf_dir), GRADES - 1).drop("text")
+    return graded.withColumn("kept", F.col("p_tail") >= LEAST_P)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_langid": op6_langid,
+    "op9_ordinal": op9_ordinal,
 }
 
 #: DuckDB statements for the queries that SQL can express.
