@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, langid, ordinal
+from mercato.llm import bpe, dartminhash, langid, ordinal
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -24,6 +24,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary).drop("text")
 
 
+def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of each document, and whether it stays."""
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def learned_profiles(spark: SparkSession, sf_dir: str) -> langid.Profiles:
     """Profiles of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -62,6 +67,7 @@ def op9_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_dartminhash": op2_dartminhash,
     "op6_langid": op6_langid,
     "op9_ordinal": op9_ordinal,
 }
