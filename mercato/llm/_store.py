@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder; its lineage ends there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the checkpoint folder at which nothing is stored yet."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, dartminhash, langid, ordinal
+from mercato.llm import bpe, dartminhash, langid, ordinal, warc
+from mercato.llm._store import new_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -65,11 +66,21 @@ def op9_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.withColumn("kept", F.col("p_tail") >= LEAST_P)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path).select(
+        F.col("id").alias("page_id"), F.col("size").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_dartminhash": op2_dartminhash,
     "op6_langid": op6_langid,
     "op9_ordinal": op9_ordinal,
+    "op10_warc": op10_warc,
 }
 
 #: DuckDB statements for the queries that SQL can express.
