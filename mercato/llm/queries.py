@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, dartminhash, langid, ordinal, warc
+from mercato.llm import bpe, dartminhash, langid, ordinal, urlrules, warc
 from mercato.llm._store import new_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -66,6 +66,19 @@ def op9_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.withColumn("kept", F.col("p_tail") >= LEAST_P)
 
 
+URL_RULES = [
+    urlrules.Rule("allow", "com", "/"), urlrules.Rule("block", "example.com", "/en/"),
+    urlrules.Rule("allow", "www.example.com", "/en/"), urlrules.Rule("block", "net", "/es/"),
+    urlrules.Rule("block", "net", "/fr/"),
+]
+
+
+def op8_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of each page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlrules.judge(pages, URL_RULES).drop("url")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     path = new_path(spark, "warc")
@@ -79,9 +92,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_dartminhash": op2_dartminhash,
     "op6_langid": op6_langid,
+    "op8_urlrules": op8_urlrules,
     "op9_ordinal": op9_ordinal,
     "op10_warc": op10_warc,
 }
 
 #: DuckDB statements for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_urlrules": r"""
+    WITH rests AS (
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0
+               THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+        FROM pages
+    ), parts AS (
+        SELECT page_id,
+               translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz') AS host,
+               substr(regexp_extract(rest, '^[^?#]*'),
+                      length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path
+        FROM rests
+    ), rules(action, rule_host, rule_path) AS (
+        VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+               ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+    ), fits AS (
+        SELECT page_id, rule_host || rule_path AS rule, action,
+               row_number() OVER (PARTITION BY page_id
+                                  ORDER BY length(rule_host) DESC, length(rule_path) DESC) AS place
+        FROM parts JOIN rules
+          ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    )
+    SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
+    FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.place = 1
+""", "op10_warc": """
+    WITH digests AS (
+        SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+               sha1(coalesce(html, '')) AS hex
+        FROM pages
+    ), fives AS (
+        SELECT page_id, payload_bytes,
+               list_transform(range(8), lambda k: CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT)) AS numbers
+        FROM digests
+    ), named AS (
+        SELECT page_id, payload_bytes,
+               list_aggregate(flatten(list_transform(numbers, lambda v: list_transform([32768, 1024, 32, 1],
+                   lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // d) % 32 AS BIGINT) + 1, 1)))),
+                   'string_agg', '') AS payload_digest
+        FROM fives
+    ), lasts AS (
+        SELECT payload_digest, payload_bytes, max(page_id) AS response
+        FROM named GROUP BY ALL
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> response THEN response END AS refers_to
+    FROM named JOIN lasts USING (payload_digest, payload_bytes)
+"""}
