@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, dartminhash, langid, ordinal, urlrules, warc
+from mercato.llm import bpe, dartminhash, langid, ordinal, spotsigs, urlrules, warc
 from mercato.llm._store import new_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,11 @@ def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, compared."""
+    return spotsigs.edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def learned_profiles(spark: SparkSession, sf_dir: str) -> langid.Profiles:
     """Profiles of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -91,6 +96,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_dartminhash": op2_dartminhash,
+    "op5_spotsigs": op5_spotsigs,
     "op6_langid": op6_langid,
     "op8_urlrules": op8_urlrules,
     "op9_ordinal": op9_ordinal,
