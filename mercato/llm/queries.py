@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, dartminhash, langid, ordinal, spotsigs, urlrules, warc
+from mercato.llm import backoff, bpe, dartminhash, langid, ordinal, spotsigs, urlrules, warc
 from mercato.llm._store import new_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -71,6 +71,11 @@ def op9_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.withColumn("kept", F.col("p_tail") >= LEAST_P)
 
 
+def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of each document by the counts over all."""
+    return backoff.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 URL_RULES = [
     urlrules.Rule("allow", "com", "/"), urlrules.Rule("block", "example.com", "/en/"),
     urlrules.Rule("allow", "www.example.com", "/en/"), urlrules.Rule("block", "net", "/es/"),
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_dartminhash": op2_dartminhash,
     "op5_spotsigs": op5_spotsigs,
     "op6_langid": op6_langid,
+    "op7_backoff": op7_backoff,
     "op8_urlrules": op8_urlrules,
     "op9_ordinal": op9_ordinal,
     "op10_warc": op10_warc,
