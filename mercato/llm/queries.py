@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import backoff, bpe, dartminhash, langid, ordinal, spotsigs, urlrules, warc
+from mercato.llm import backoff, bpe, curriculum, dartminhash, decisions, langid, ordinal, spotsigs, urlrules, warc
 from mercato.llm._store import new_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,22 @@ def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each document and the verdict of the learned rules."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    judged, _ = decisions.judge(docs, labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", "base_failed", "kept")
+
+
+def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, and at which position first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return curriculum.plan(docs).select(
+        "doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and of its edited text, compared."""
     return spotsigs.edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -101,6 +117,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_dartminhash": op2_dartminhash,
+    "op3_decisions": op3_decisions,
+    "op4_curriculum": op4_curriculum,
     "op5_spotsigs": op5_spotsigs,
     "op6_langid": op6_langid,
     "op7_backoff": op7_backoff,
