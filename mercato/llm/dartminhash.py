@@ -13,10 +13,13 @@ twice as far, until none is left, so the work follows elements plus darts.
 
 Signatures are cut into bands; texts that share a band's key are candidates.
 Within a key no pairs are enumerated: each text is paired with the key's
-centres (the smallest id, and the smallest under two hashes), and the pairs
-are checked exactly on their sets.  Texts of equal sets have been merged
-before, so copies make no pairs.  Classes are the connected components of the
-confirmed links; labels spread over joins, with checkpoints.
+centre, the text that meets most others over all its keys (the original among
+its copies), and the pairs are checked exactly on their sets.  Classes are the
+connected components of the confirmed links; labels spread over joins, with
+checkpoints.  Where a key still holds several classes, its texts are dealt
+into 16 lots, and paired with the centres of all lots that are of another
+class: nearly all pairs of a small key, a linear number of a large one's.
+Texts of equal sets have been merged before, so copies make no pairs.
 
 Cases: rows of a null id are in no class and are kept; rows of one id are one
 document; null and empty texts, and other texts without a word, are alike only
@@ -61,6 +64,7 @@ class Plan:
     bands: int = 24
     rows: int = 5
     counted: bool = False
+    centres: tuple[int, ...] = (1, 16)
 
     @property
     def k(self) -> int:
@@ -221,30 +225,43 @@ def similarity(a: bytes, b: bytes, wa: bytes = b"", wb: bytes = b"") -> float:
     return low / high if high else 0.0
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of ``sets``' ids that share a band's key: each
-    id with the centres of its keys."""
+def buckets(sets: DataFrame) -> DataFrame:
+    """key, id, met of the bands' keys that several of ``sets`` have; met:
+    how many sets the id meets in all its keys."""
     banded = sets.select("id", F.explode("bands").alias("key"))
-    others = [F.min_by("id", F.xxhash64("id", F.lit(seed))) for seed in (1, 2)]
-    centres = (banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"),
-                                         F.array_distinct(F.array(F.min("id"), *others)).alias("centre"))
-               .where("n > 1").select("key", F.explode("centre").alias("centre")))
-    return (banded.join(centres, "key").where("id <> centre")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = checkpointed(banded.join(shared, "key"))
+    met = rows.groupBy("id").agg(F.sum("n").alias("met"))
+    return checkpointed(rows.select("key", "id").join(met, "id"))
+
+
+def candidates(rows: DataFrame, labels: DataFrame | None, centres: int) -> DataFrame:
+    """Distinct pairs (a < b) of ids that share a key.  A key's ids are dealt
+    into ``centres`` lots; the id that meets most others in its lot is a
+    centre, and every id is paired with each of its keys' centres.  With
+    ``labels``, only ids of different labels are."""
+    if labels is None:
+        rows = rows.withColumn("label", F.col("id"))
+    else:
+        rows = (rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
+        split = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
+        rows = checkpointed(rows.join(split.select("key"), "key"))
+    lot = F.pmod(F.xxhash64("id", "key"), F.lit(centres))
+    best = F.max_by(F.struct("id", "label"), F.struct("met", F.xxhash64("id")))
+    hubs = (rows.groupBy("key", lot.alias("lot")).agg(best.alias("c"))
+            .select("key", F.col("c.id").alias("centre"), F.col("c.label").alias("centre_label")))
+    return (rows.join(hubs, "key").where("label <> centre_label")
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, df: DataFrame, plan: Plan, text: str, key: str) -> DataFrame:
-    """The pairs whose sets are as similar as the plan asks."""
-    sizes = sets.select("id", "size")
+def confirmed(pairs: DataFrame, sizes: DataFrame, packed: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs whose sets are as similar as the plan asks; ``sizes``: id,
+    size; ``packed``: id, elements, weights."""
     close = (pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
              .where(F.least("size_a", "size_b") >= plan.similarity * F.greatest("size_a", "size_b"))
              .select("a", "b"))
-    close = checkpointed(close)
-    used = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(column(df, key).alias("id"), column(df, text).alias("text")).join(used, "id", "left_semi")
-    packed = _sets(texts, plan, "text", "id")
-    both = (close.join(packed.toDF("b", "eb", "wb"), "b").join(packed.toDF("a", "ea", "wa"), "a"))
-    schema = T.StructType([close.schema["a"], close.schema["b"]])
+    both = close.join(packed.toDF("b", "eb", "wb"), "b").join(packed.toDF("a", "ea", "wa"), "a")
+    schema = T.StructType([both.schema["a"], both.schema["b"]])
 
     def check(batches):
         for batch in batches:
@@ -283,12 +300,19 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", plan
     sets = (rows.where("id is not null").groupBy("same")
             .agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     sets = checkpointed(sets)
-    links = confirmed(candidates(sets.where("size > 0")), sets, df, plan, text, key)
+    rows_of_keys = buckets(sets.where("size > 0"))
+    used = rows_of_keys.select("id").distinct()
+    texts = df.select(column(df, key).alias("id"), column(df, text).alias("text")).join(used, "id", "left_semi")
+    packed = checkpointed(_sets(texts, plan, "text", "id"))
+    sizes = sets.select("id", "size")
     # rows of one id are one document: their sets are linked
     again = (rows.where("id is not null").join(sets.select("same", F.col("id").alias("rep")), "same")
              .where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
-    several = again.join(sets.select(F.col("id").alias("b")), "b").select("a", "b")
-    labels = components(links.union(several))
+    links = again.join(sets.select(F.col("id").alias("b")), "b").select("a", "b")
+    labels = None
+    for centres in plan.centres:
+        links = checkpointed(links.union(confirmed(candidates(rows_of_keys, labels, centres), sizes, packed, plan)))
+        labels = components(links)
     classes = (sets.select("same", "id").join(labels, "id", "left")
                .select("same", F.coalesce("label", "id").alias("class_id")))
     found = rows.select("id", "same").join(classes, "same", "left").select(
