@@ -46,7 +46,7 @@ ALPHA, LEAST = 0.4, 2
 
 _BITS = np.uint64((1 << 48) - 1)
 _START, _END = np.uint64(1), np.uint64(2)
-_BATCH_BYTES = 16 << 20
+_BATCH_BYTES = 8 << 20
 #: Stands for a null key in the packed columns.
 _NULL = -1 << 63
 
@@ -81,16 +81,24 @@ def _packed_schema(*names: str) -> T.StructType:
 
 
 def _met(packed: DataFrame, partitions: int, work: Callable, schema: T.StructType) -> DataFrame:
-    """``work`` on all rows of each partition, parts kept together."""
+    """``work`` on all rows of each part, one part after the other."""
     def run(batches: Iterator[pa.RecordBatch]):
-        columns: list[list[bytes]] = []
+        part, columns = None, []
         for batch in batches:
-            columns = columns or [[] for _ in batch.schema.names[1:]]
-            for held, values in zip(columns, batch.columns[1:]):
-                held.extend(values.to_pylist())
+            parts = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if parts[a] != part:
+                    if columns:
+                        yield from work(*columns)
+                    part, columns = parts[a], [[] for _ in batch.columns[1:]]
+                for held, values in zip(columns, batch.columns[1:]):
+                    held.extend(values.slice(a, b - a).to_pylist())
         if columns:
             yield from work(*columns)
-    return packed.repartition(partitions, "part").mapInArrow(run, schema)
+    return packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -89,7 +89,9 @@ def op9_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff score of each document by the counts over all."""
-    return backoff.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = backoff.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
+                         F.round("score", 4).alias("score"))
 
 
 URL_RULES = [
@@ -175,4 +177,30 @@ ORACLE_SQL: dict[str, str] = {"op8_urlrules": r"""
            CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
            CASE WHEN page_id <> response THEN response END AS refers_to
     FROM named JOIN lasts USING (payload_digest, payload_bytes)
+""", "op7_backoff": r"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS list
+        FROM documents
+    ), pairs AS (
+        SELECT doc_id, unnest(['<s>'] || list[:-2]) AS before, unnest(list) AS word
+        FROM words WHERE len(list) > 0
+    ), word_counts AS (
+        SELECT word, count(*) AS n FROM pairs GROUP BY word
+        UNION ALL SELECT '<s>', count(*) FROM words WHERE len(list) > 0
+    ), pair_counts AS (
+        SELECT before, word, count(*) AS n FROM pairs GROUP BY before, word
+    ), total AS (
+        SELECT count(*) AS n FROM pairs
+    ), scored AS (
+        SELECT p.doc_id, CASE WHEN pc.n >= 2 THEN ln(pc.n) - ln(wb.n)
+                              ELSE ln(0.4) + ln(ww.n) - ln(total.n) END AS value
+        FROM pairs p JOIN pair_counts pc USING (before, word)
+        JOIN word_counts wb ON wb.word = p.before JOIN word_counts ww ON ww.word = p.word, total
+    ), sums AS (
+        SELECT doc_id, sum(value) AS log_score FROM scored GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(list) AS BIGINT) AS n_words, round(coalesce(log_score, 0.0), 4) AS log_score,
+           round(log_score / len(list), 4) AS score
+    FROM words LEFT JOIN sums USING (doc_id)
 """}
