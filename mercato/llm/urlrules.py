@@ -69,8 +69,11 @@ def _turned(host: str) -> str:
 
 def cut_points(keys: DataFrame, ranges: int) -> list[str]:
     """At most ``ranges - 1`` ascending keys between which rows are about
-    even, from the ``SAMPLE`` rows of the smallest hashes."""
-    sample = sorted(r["key"] for r in keys.orderBy(F.xxhash64("key", "salt")).limit(SAMPLE).select("key").collect())
+    even, from about ``SAMPLE`` rows: those of the smallest hashes."""
+    n = keys.count()
+    if n > SAMPLE:
+        keys = keys.where(F.xxhash64("key", "salt") < int(-2**63 + 2**64 * (SAMPLE / n)))
+    sample = sorted(r["key"] for r in keys.select("key").limit(4 * SAMPLE).collect())
     step = max(1.0, len(sample) / ranges)
     return sorted({sample[int(step * i)] for i in range(1, ranges) if int(step * i) < len(sample)})
 
@@ -147,7 +150,7 @@ def _sweep(batches: Iterator[pa.RecordBatch], starts: list[tuple[bytes, Rule]],
             for low, rule in reversed(stack):
                 if fit and len(low) < len(fit[0]):
                     break
-                if path.startswith(rule.path) and (fit is None or len(rule.path) >= len(fit[1].path)):
+                if path.startswith(rule.path) and (fit is None or len(rule.path) > len(fit[1].path)):
                     fit = low, rule
             keep.append(row)
             found.append(fit[1].name if fit else None)
