@@ -7,6 +7,6 @@ the joins and aggregations for the cluster it runs on.
 
 from mercato.sources.model import Tables, read_marketplace
 from mercato.sources.binding import bind_star
-from mercato.session import build_session, checkpoint_dir
+from mercato.session import build_session
 
-__all__ = ["Tables", "read_marketplace", "bind_star", "build_session", "checkpoint_dir"]
+__all__ = ["Tables", "read_marketplace", "bind_star", "build_session"]

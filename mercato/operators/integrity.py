@@ -1,8 +1,8 @@
 """Data checks for the model's declared keys, foreign keys and NOT NULL columns.
 
 The declarations are not enforced on write (there is no storage engine
-here); these checks report violations as DataFrames instead.  Each is one
-aggregate or one anti join, so it scales with the table.
+here); these checks report violations as DataFrames instead.  Rows are
+counted per key before keys meet, so a hot key is one row.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercato.plans.dimension import dimension_join
 from mercato.sources import schemas
 from mercato.sources.model import Tables
 
@@ -24,11 +25,35 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str,
             parent_key: str | None = None) -> DataFrame:
-    """Child rows whose non-NULL key has no parent row (a NULL key is allowed)."""
+    """Child rows whose non-NULL key has no parent row (a NULL key is allowed).
+
+    Only distinct keys meet the parent's; the rows of the missing ones are
+    fetched by a salted join, since one missing key may have very many."""
     parent_key = parent_key or child_key
     parents = parent.select(F.col(parent_key).alias("_parent_key"))
-    return (child.filter(F.col(child_key).isNotNull())
-            .join(parents, F.col(child_key) == F.col("_parent_key"), "left_anti"))
+    missing = (child.filter(F.col(child_key).isNotNull()).select(child_key).distinct()
+               .join(parents, F.col(child_key) == F.col("_parent_key"), "left_anti"))
+    return dimension_join(child, missing, [child_key], child.columns)
+
+
+def _orphan_counts(table: str, child: DataFrame, keys: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """(check, table_name, columns, violations) for each foreign key (column,
+    parent, parent column) of ``child``: rows are counted per key value, of
+    all columns in one pass, before the values meet the parents'."""
+    unpivoted = child.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("columns"), F.col(c).cast("string").alias("_key"))
+        for c, _, _ in keys])).alias("_f")).select("_f.columns", "_f._key")
+    counts = (unpivoted.filter(F.col("_key").isNotNull()).groupBy("columns", "_key")
+              .agg(F.count(F.lit(1)).alias("_n")))
+    known = reduce(DataFrame.unionByName, [
+        parent.select(F.lit(c).alias("columns"), F.col(pkey).cast("string").alias("_key"))
+        for c, parent, pkey in keys])
+    totals = (counts.join(known, ["columns", "_key"], "left_anti")
+              .groupBy("columns").agg(F.sum("_n").alias("_n")))
+    declared = child.sparkSession.createDataFrame([(c,) for c, _, _ in keys], "columns string")
+    return declared.join(totals, "columns", "left").select(
+        F.lit("orphan").alias("check"), F.lit(table).alias("table_name"), "columns",
+        F.coalesce("_n", F.lit(0)).cast("bigint").alias("violations"))
 
 
 def null_violations(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -42,8 +67,8 @@ def integrity_report(tables: Tables) -> DataFrame:
     """One row per declared constraint: (check, table_name, columns, violations).
 
     Duplicate keys and NOT NULL violations of a table come from one
-    aggregation by its key (one pass and one shuffle per table); each foreign
-    key is one anti join.
+    aggregation by its key (one pass and one shuffle per table), its foreign
+    keys from one more.
     """
     named = tables.by_model_name()
     parts = []
@@ -66,10 +91,9 @@ def integrity_report(tables: Tables) -> DataFrame:
                                  F.col("_null").cast("bigint").alias("violations")))
         parts.append(totals.select(F.explode(F.array(*rows)).alias("_r")).select(
             "_r.check", F.lit(table).alias("table_name"), "_r.columns", "_r.violations"))
+    foreign: dict[str, list] = {}
     for child, ckey, parent, pkey in schemas.FOREIGN_KEYS:
         if child in named and parent in named:
-            bad = orphans(named[child], named[parent], ckey, pkey)
-            parts.append(bad.agg(F.count(F.lit(1)).alias("violations")).select(
-                F.lit("orphan").alias("check"), F.lit(child).alias("table_name"),
-                F.lit(ckey).alias("columns"), "violations"))
+            foreign.setdefault(child, []).append((ckey, named[parent], pkey))
+    parts += [_orphan_counts(child, named[child], keys) for child, keys in foreign.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -2,14 +2,13 @@
 
 * ``top_n``: ORDER BY .. LIMIT n; plans as ``TakeOrderedAndProject`` (each
   task keeps its n best rows, the driver merges n x tasks rows).
-* ``dense_rank_at_most``: DENSE_RANK() filtered to <= k.  Catalyst infers a
-  ``WindowGroupLimit`` from the filter, so each task drops rows beyond rank k
-  of its own data before the shuffle; ties are kept, as in SQL.
+* ``dense_rank_at_most``: DENSE_RANK() filtered to <= k, computed on the
+  distinct values and joined back, so ties meet in no single task.
 * ``latest_per_key``: ROW_NUMBER() .. ORDER BY ts DESC = 1 as an aggregate of
   ``max(struct(ts, tie))``: partial aggregation before the shuffle, so a key
   with a third of all rows is reduced map-side.
 * ``scalable_ntile`` and ``group_dense_rank`` (re-exported): unbounded
-  windows computed from global positions (see ``plans.positions``).
+  windows computed in buckets of the sort order (see ``plans.positions``).
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.plans.dimension import SALTS, dimension_join
 from mercato.plans.positions import group_dense_rank, lag_by_position, scalable_ntile
 
 __all__ = ["top_n", "dense_rank_at_most", "latest_per_key", "scalable_ntile",
@@ -29,12 +29,25 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def dense_rank_at_most(df: DataFrame, partition: list[str], order: list[Column], k: int,
-                       name: str) -> DataFrame:
-    """Rows whose DENSE_RANK within ``partition`` (global if empty) is <= k."""
-    w = Window.partitionBy(*partition).orderBy(*order) if partition else Window.orderBy(*order)
-    ranked = df.withColumn(name, F.dense_rank().over(w))
-    return ranked.filter(F.col(name) <= k).withColumn(name, F.col(name).cast("bigint"))
+def dense_rank_at_most(df: DataFrame, partition: list[str], value: str, k: int, name: str,
+                       spread_by: list[str]) -> DataFrame:
+    """Rows whose DENSE_RANK by descending ``value`` (NULLs last) within
+    ``partition`` (global if empty) is <= k, with the rank, for any k.
+
+    The distinct (partition, value) pairs are ranked: first within salted
+    shares of a partition, of which each keeps its k best, then among those
+    that are left.  The at most k pairs of a partition are joined to the rows,
+    salted by a hash of ``spread_by``, the rows' key.
+    """
+    values = df.select(*partition, value).distinct()
+    best = F.col(value).desc_nulls_last()
+    share = F.pmod(F.xxhash64(value), F.lit(SALTS))
+    values = (values.withColumn("_share", share)
+              .withColumn(name, F.row_number().over(Window.partitionBy(*partition, "_share").orderBy(best)))
+              .filter(F.col(name) <= k).drop("_share", name))
+    values = (values.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(best)))
+              .filter(F.col(name) <= k).withColumn(name, F.col(name).cast("bigint")))
+    return dimension_join(df, values, [*partition, value], spread_by, null_safe=True)
 
 
 def latest_per_key(df: DataFrame, key: str, ts: str, tie: str, cols: list[str]) -> DataFrame:

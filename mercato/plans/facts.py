@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.dates import day_diff
-from mercato.plans.broadcast import broadcast_if_small, dimension_join
+from mercato.plans.dimension import dimension_join
 from mercato.sources.model import Tables
 
 
@@ -28,7 +28,7 @@ def order_totals(t: Tables) -> DataFrame:
 def english_categories(t: Tables) -> DataFrame:
     """product_id, product_category_name_english (inner: untranslated and
     NULL categories drop out).  Few categories may carry most products, so
-    the translation is joined as a dimension (broadcast or salted)."""
+    the translation is joined as a dimension (salted)."""
     return (dimension_join(t.products.select("product_id", "product_category_name"),
                            t.translation, ["product_category_name"], ["product_id"])
             .select("product_id", "product_category_name_english"))
@@ -74,7 +74,7 @@ def with_city_collation(t: Tables, collation: str | None) -> Tables:
     """``t`` with customer cities equal under ``collation`` (e.g.
     'UNICODE_CI_AI': case- and accent-insensitive) replaced by one spelling,
     the smallest in binary order.  None keeps binary comparison.  The city
-    list is a dimension (one row per distinct city), broadcast when small."""
+    list is a dimension (one row per distinct city)."""
     if not collation:
         return t
     key = F.collate("customer_city", collation)

@@ -1,16 +1,14 @@
-"""Global row positions in a sort order, without a single-partition window.
+"""Ranks, tiles and lags over any number of rows, without a window that one
+task must hold.
 
 ``Window.orderBy(...)`` with no partition moves every row to one task, and a
-window partitioned by a hot key moves that key's rows to one task.  Here the
-rows are sorted by a range-partitioned ``orderBy`` (Spark samples the sort
-key, so a large run of equal leading keys is split across tasks by the
-remaining keys), each row gets its index inside its sorted partition, and
-the partition offsets come from one count per partition.  The tagged rows
-are checkpointed into the session's shared checkpoint folder first, so the
-indices cannot move if a lost executor forces a recomputation.
-
-Building blocks on top: ``ntile`` over any number of rows, a dense rank
-inside groups of any size, and lag by position.
+window partitioned by a hot key moves that key's rows to one task.  Here rows
+get a bucket by cut points over the whole sort key (which ends with a unique
+column, so equal values are cut too), windows run within a bucket, and what
+must be known of the other buckets (a count, a last row) is one row a bucket.
+The cut points come from the ``SAMPLE`` rows of the smallest key hashes, as a
+scalar subquery of the same plan: no job runs before the action, and nothing
+is checkpointed.  The sample only decides how even the buckets are.
 """
 
 from __future__ import annotations
@@ -18,40 +16,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.session import checkpoint_dir
-
-_PART_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row index
+#: Bounds of the tables of one row a bucket, and of the sample.
+BUCKETS, SAMPLE = 256, 4096
 POS = "_pos"
+_B = "_bucket"
 
 
-def _positions(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
-    """(positioned rows, one-row total) for ``global_positions``."""
-    checkpoint_dir(df.sparkSession)
-    tagged = (df.orderBy(*order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
-    pid = F.shiftright("_mid", _PART_SHIFT)
-    local = F.col("_mid").bitwiseAND((1 << _PART_SHIFT) - 1)
-    # one row per sorted partition: bounded by the shuffle partition count,
-    # so this side is safe to broadcast whatever the data size.
-    counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0))
-                            .alias("_offset"))
-    positioned = (tagged.join(F.broadcast(offsets), pid == F.col("_pid"))
-                  .withColumn(name, F.col("_offset") + local + 1)
-                  .drop("_mid", "_pid", "_offset"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    return positioned, total
-
-
-def global_positions(df: DataFrame, order: list[Column], name: str = POS) -> DataFrame:
-    """``df`` plus a 1-based position ``name`` in the total order ``order``.
-
-    ``order`` should be a total order (end it with a key) for reproducible
-    positions among ties.
-    """
-    return _positions(df, order, name)[0]
+def _ascending(keys: list[str]) -> list[Column]:
+    return [F.col(k).asc_nulls_first() for k in keys]
+
+
+def with_bucket(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """``df`` plus an int ``_bucket`` below ``buckets`` that does not fall
+    along the ascending order of ``keys`` (NULLs first)."""
+    sample = (df.select(F.struct(*keys).alias("_k")).orderBy(F.xxhash64("_k")).limit(SAMPLE)
+              .agg(F.sort_array(F.collect_list("_k")).alias("_s")))
+    cuts = sample.select(F.transform(
+        F.sequence(F.lit(1), F.lit(buckets - 1)),
+        lambda i: F.get("_s", F.floor(i * F.size("_s") / buckets).cast("int"))).alias("_c"))
+    key = F.struct(*keys)
+    below = F.size(F.filter("_cuts", lambda cut: cut <= key))
+    cuts = cuts.select(F.array_distinct("_c")).scalar()
+    return df.withColumn("_cuts", cuts).withColumn(_B, below).drop("_cuts")
+
+
+def _positions(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(positioned rows, one-row total)."""
+    rows = with_bucket(df, keys)
+    counts = rows.groupBy(_B).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(_B).alias("_b"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(_B).orderBy(*_ascending(keys)))
+    positioned = (rows.withColumn(name, inside.cast("bigint"))
+                  .join(F.broadcast(offsets), F.col(_B) == F.col("_b"))  # at most BUCKETS rows
+                  .withColumn(name, F.col("_offset") + F.col(name))
+                  .drop(_B, "_b", "_offset"))
+    return positioned, counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
+
+
+def global_positions(df: DataFrame, keys: list[str], name: str = POS) -> DataFrame:
+    """``df`` plus a 1-based position ``name`` in the ascending order of
+    ``keys`` (NULLs first), which should end with a unique column."""
+    return _positions(df, keys, name)[0]
 
 
 def _int_div(a: Column, b: Column) -> Column:
@@ -72,64 +79,67 @@ def ntile_of_position(pos: Column, n: Column, tiles: int) -> Column:
     return F.when(pos <= big, first).otherwise(rest)
 
 
-def scalable_ntile(df: DataFrame, order: list[Column], tiles: int, name: str) -> DataFrame:
-    """``df`` plus ``name`` = NTILE(tiles) OVER (ORDER BY order) as bigint."""
-    positioned, total = _positions(df, order, POS)
-    # scalar subquery over one row per sorted partition, projected once
+def scalable_ntile(df: DataFrame, keys: list[str], tiles: int, name: str) -> DataFrame:
+    """``df`` plus ``name`` = NTILE(tiles) OVER (ORDER BY keys) as bigint."""
+    positioned, total = _positions(df, keys, POS)
     with_n = positioned.withColumn("_total", total.scalar())
     return (with_n.withColumn(name, ntile_of_position(F.col(POS), F.col("_total"), tiles)
                               .cast("bigint"))
             .drop(POS, "_total"))
 
 
-def _null_safe_equal(pairs: list[tuple[str, str]]) -> Column:
-    cond = F.lit(True)
-    for a, b in pairs:
-        cond = cond & F.col(a).eqNullSafe(F.col(b))
-    return cond
-
-
 def group_dense_rank(df: DataFrame, group_cols: list[str], value: str, name: str,
-                     descending: bool = True) -> DataFrame:
-    """``df`` plus ``name`` = DENSE_RANK() OVER (PARTITION BY group ORDER BY value).
-
-    Distinct (group, value) pairs are positioned in one global sort; a pair's
-    dense rank is its position minus the position of its group's first pair.
-    No task ever holds a whole group.  ``df`` is read twice (for the pairs and
-    for the join back), so it is checkpointed first: its upstream work runs
-    once, and a lost executor cannot force it to run again.
+                     tie: list[str]) -> DataFrame:
+    """``df`` plus ``name`` = DENSE_RANK() OVER (PARTITION BY group ORDER BY
+    value DESC NULLS LAST); ``tie`` columns tell rows of one value apart.
+
+    Rows are cut into buckets by (group, value, tie).  A bucket's part of a
+    group ranks its values, and adds the distinct values of the group's parts
+    above, less one for each value that two neighbouring parts share.
     """
-    checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    g_names = [f"_g{i}" for i in range(len(group_cols))]
-    val = F.col("_v")
-    val_order = val.desc_nulls_last() if descending else val.asc_nulls_first()
-    pairs = df.select(*(F.col(g).alias(n) for g, n in zip(group_cols, g_names)),
-                      F.col(value).alias("_v")).distinct()
-    pos = global_positions(pairs, [*(F.col(n).asc_nulls_first() for n in g_names), val_order])
-    starts = pos.groupBy(*g_names).agg(F.min(POS).alias("_start")).select(
-        *(F.col(n).alias(f"{n}s") for n in g_names), "_start")
-    ranked = (pos.join(starts, _null_safe_equal([(n, f"{n}s") for n in g_names]))
-              .select(*g_names, "_v", (F.col(POS) - F.col("_start") + 1).cast("bigint")
-                      .alias(name)))
-    keys = [*zip(group_cols, g_names), (value, "_v")]
-    return (df.join(ranked, _null_safe_equal(keys))
-            .drop(*g_names, "_v"))
-
-
-def lag_by_position(df: DataFrame, group_cols: list[str], order: list[Column],
+    rows = with_bucket(df, [*group_cols, value, *tie])
+    v = F.struct(value)  # a NULL is a value
+    parts = rows.groupBy(_B, *group_cols).agg(
+        F.count_distinct(v).alias("_n"), F.min(v).alias("_low"), F.max(v).alias("_high"))
+    down = Window.partitionBy(*group_cols).orderBy(F.desc(_B))  # at most BUCKETS rows a group
+    shared = F.coalesce(F.lag("_low").over(down) == F.col("_high"), F.lit(False)).cast("int")
+    parts = parts.withColumn("_shared", shared)
+    above = F.coalesce(F.sum("_n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(
+        F.col(_B).alias("_b"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)],
+        (above - F.sum("_shared").over(down.rowsBetween(Window.unboundedPreceding, 0))).alias("_offset"))
+    same = F.col(_B) == F.col("_b")
+    for i, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    inside = F.dense_rank().over(
+        Window.partitionBy(_B, *group_cols).orderBy(F.col(value).desc_nulls_last()))
+    return (rows.withColumn(name, inside).join(offsets, same)
+            .withColumn(name, (F.col(name) + F.col("_offset")).cast("bigint"))
+            .select(*df.columns, name))
+
+
+def lag_by_position(df: DataFrame, group_cols: list[str], keys: list[str],
                     value: str, name: str) -> DataFrame:
-    """``df`` plus ``name`` = LAG(value) OVER (PARTITION BY group ORDER BY order).
+    """``df`` plus ``name`` = LAG(value) OVER (PARTITION BY group ORDER BY
+    keys), ascending, NULLs first.
 
-    Rows are positioned in one global sort on (group, order); the previous
-    row of a group is the row at position - 1 when it has the same group.
-    The self-join is on the unique position, so no key can be hot.
+    Rows are cut into buckets by (group, keys).  The row before is that of the
+    bucket, or the last row of the bucket before; it counts if its group is
+    the same.
     """
-    pos = global_positions(df, [*(F.col(g).asc_nulls_first() for g in group_cols), *order])
-    prev = pos.select(*(F.col(g).alias(f"_prev_{g}") for g in group_cols),
-                      (F.col(POS) + 1).alias("_next"), F.col(value).alias(name))
-    same_group = F.lit(True)
-    for g in group_cols:
-        same_group = same_group & pos[g].eqNullSafe(prev[f"_prev_{g}"])
-    joined = pos.join(prev, (pos[POS] == prev["_next"]) & same_group, "left")
-    return joined.select(*(pos[c] for c in df.columns), prev[name])
+    order = [*group_cols, *keys]
+    rows = with_bucket(df, order)
+    row = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group_cols)],
+                   F.col(value).alias("v"))
+    lasts = rows.groupBy(_B).agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    lasts = lasts.select(F.col(_B).alias("_b"),
+                         F.lag("_last").over(Window.orderBy(_B)).alias("_before"))
+    previous = F.lag(row).over(Window.partitionBy(_B).orderBy(*_ascending(order)))
+    joined = (rows.withColumn("_previous", previous)
+              .join(F.broadcast(lasts), F.col(_B) == F.col("_b"))  # at most BUCKETS rows
+              .withColumn("_previous", F.coalesce("_previous", "_before")))
+    same = F.lit(True)
+    for i, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"_previous.g{i}"))
+    same = same & F.col("_previous").isNotNull()
+    return joined.withColumn(name, F.when(same, F.col("_previous.v"))).select(*df.columns, name)

@@ -16,7 +16,7 @@ from mercato.functions import (as_double, as_long, cents, day_diff, mean, month_
 from mercato.operators.ranking import (dense_rank_at_most, group_dense_rank,  # noqa: F401
                                        lag_by_position, latest_per_key, scalable_ntile, top_n)
 from mercato.plans import facts  # noqa: F401
-from mercato.plans.broadcast import broadcast_if_small, dimension_join  # noqa: F401
+from mercato.plans.dimension import dimension_join  # noqa: F401
 from mercato.sources.model import Tables  # noqa: F401
 
 # These must equal the report definitions for right results.

@@ -2,9 +2,9 @@
 
 Windows over a handful of rows (categories, months) run as plain windows.
 Windows that would see a whole customer population in one partition are
-re-expressed: a group limit (Catalyst's ``WindowGroupLimit`` under a
-rank filter), a per-group aggregate joined back, or global positions
-(``scalable_ntile``, ``group_dense_rank``, ``lag_by_position``).
+re-expressed: ranks of distinct values joined back, a per-group aggregate
+joined back, or windows in buckets of the sort order (``scalable_ntile``,
+``group_dense_rank``, ``lag_by_position``).
 """
 
 from mercato.reports._common import *  # noqa: F401,F403
@@ -34,7 +34,7 @@ def top_seller_per_state(t: Tables) -> DataFrame:
                .groupBy("customer_id", "seller_id").agg(F.sum("price").alias("_sales")))
     sales = (per_cid.join(t.customers.select("customer_id", "customer_state"), "customer_id")
              .groupBy("customer_state", "seller_id").agg(F.sum("_sales").alias("total_sales")))
-    top = dense_rank_at_most(sales, ["customer_state"], [desc("total_sales")], 1, "drank")
+    top = dense_rank_at_most(sales, ["customer_state"], "total_sales", 1, "drank", ["seller_id"])
     return top.select("customer_state", "seller_id",
                       as_double("total_sales").alias("total_sales"), "drank")
 
@@ -42,14 +42,15 @@ def top_seller_per_state(t: Tables) -> DataFrame:
 def top_categories_per_state(t: Tables, k: int = 3) -> DataFrame:
     """Q54: price sum per (customer state, English category); DENSE_RANK <= k
     per state (ties kept, so possibly more than k rows)."""
-    per_order = (t.items.select("order_id", "product_id", "price")
-                 .join(facts.english_categories(t), "product_id")
-                 .groupBy("order_id", ENGLISH).agg(F.sum("price").alias("_rev")))
-    per_cid = (per_order.join(t.orders.select("order_id", "customer_id"), "order_id")
-               .groupBy("customer_id", ENGLISH).agg(F.sum("_rev").alias("_rev")))
-    rev = (per_cid.join(t.customers.select("customer_id", "customer_state"), "customer_id")
+    per_cid = (t.items.select("order_id", "product_id", "price")
+               .join(t.orders.select("order_id", "customer_id"), "order_id")
+               .groupBy("customer_id", "product_id").agg(F.sum("price").alias("_rev")))
+    # a product is one row per state before it meets its category
+    per_state = (per_cid.join(t.customers.select("customer_id", "customer_state"), "customer_id")
+                 .groupBy("customer_state", "product_id").agg(F.sum("_rev").alias("_rev")))
+    rev = (per_state.join(facts.english_categories(t), "product_id")
            .groupBy("customer_state", ENGLISH).agg(F.sum("_rev").alias("product_revenue")))
-    top = dense_rank_at_most(rev, ["customer_state"], [desc("product_revenue")], k, "drank")
+    top = dense_rank_at_most(rev, ["customer_state"], "product_revenue", k, "drank", [ENGLISH])
     return top.select("customer_state", ENGLISH,
                       as_double("product_revenue").alias("product_revenue"), "drank")
 
@@ -93,7 +94,7 @@ def person_spend(t: Tables) -> DataFrame:
 
 def top_spenders(t: Tables, k: int = 5) -> DataFrame:
     """Q58: persons whose spend has global DENSE_RANK <= k (ties kept)."""
-    top = dense_rank_at_most(person_spend(t), [], [desc("total_spending")], k, "_rank")
+    top = dense_rank_at_most(person_spend(t), [], "total_spending", k, "_rank", [PERSON])
     return top.select(PERSON, as_double("total_spending").alias("total_spending"))
 
 
@@ -102,7 +103,7 @@ def top_spenders_per_city(t: Tables, k: int = 3, city_collation: str | None = No
     Cities compare binary unless ``city_collation`` is given."""
     t = facts.with_city_collation(t, city_collation)
     spend = facts.spend_by(t, ["customer_city", PERSON])
-    top = dense_rank_at_most(spend, ["customer_city"], [desc("total_spending")], k, "drank")
+    top = dense_rank_at_most(spend, ["customer_city"], "total_spending", k, "drank", [PERSON])
     return top.select("customer_city", PERSON,
                       as_double("total_spending").alias("total_spending"), "drank")
 
@@ -116,7 +117,7 @@ def order_value_change(t: Tables) -> DataFrame:
               .join(t.customers.select("customer_id", PERSON), "customer_id")
               .groupBy(PERSON, "order_id", PURCHASE)
               .agg(F.sum("order_total").alias("order_value")))
-    lagged = lag_by_position(values, [PERSON], [asc(PURCHASE), asc("order_id")],
+    lagged = lag_by_position(values, [PERSON], [PURCHASE, "order_id"],
                              "order_value", "prev_order_value")
     kept = lagged.filter(F.col("prev_order_value").isNotNull())
     return kept.select(PERSON, "order_id", PURCHASE,
@@ -149,9 +150,9 @@ def customer_revenue_share(t: Tables) -> DataFrame:
 
 def spending_quartiles(t: Tables, tiles: int = 4) -> DataFrame:
     """Q63: NTILE(tiles) of persons by ascending spend (ties by person id),
-    from global positions: no single-partition window."""
+    from positions in buckets of the order: no single-partition window."""
     spend = person_spend(t)
-    tiled = scalable_ntile(spend, [asc("total_spending"), asc(PERSON)], tiles,
+    tiled = scalable_ntile(spend, ["total_spending", PERSON], tiles,
                            "spending_quartile")
     return (tiled.select(PERSON, as_double("total_spending").alias("total_spending"),
                          "spending_quartile")
@@ -166,7 +167,8 @@ def spend_vs_state_average(t: Tables) -> DataFrame:
     states = spend.groupBy("customer_state").agg(
         F.sum("total_spending").alias("_ssum"), F.count("total_spending").alias("_sn"))
     # one row per state, and a state may hold a third of all persons: joined as
-    # a dimension (broadcast or salted), NULL state included
+    # a salted dimension, NULL state included; both sides read the spend from
+    # the one exchange of its aggregate
     joined = dimension_join(spend, states, ["customer_state"], [PERSON], null_safe=True)
     diff = rounded_ratio(cents("total_spending") * F.col("_sn") - cents("_ssum"),
                          F.col("_sn") * 100)
@@ -216,7 +218,7 @@ def customer_scorecard(t: Tables, city_collation: str | None = None) -> DataFram
                        F.sum("_sum").alias("_spend"), F.sum("_n").alias("_n"),
                        F.min("_first").alias("first_order_date"),
                        F.max("_last").alias("latest_order_date")))
-    ranked = group_dense_rank(per_person, ["customer_city"], "_spend", "spending_rank")
+    ranked = group_dense_rank(per_person, ["customer_city"], "_spend", "spending_rank", [PERSON])
     return (ranked.select(PERSON, "customer_city", as_long("total_orders").alias("total_orders"),
                           as_double("_spend").alias("total_spending"),
                           rounded_ratio(cents("_spend"), F.col("_n") * 100)

@@ -117,13 +117,14 @@ def aov_by_state(t: Tables) -> DataFrame:
 def avg_category_revenue_per_order(t: Tables) -> DataFrame:
     """Q32: price sum per (raw category, order), then its mean per English
     category (aggregated before the translation join, as written)."""
-    cat_orders = (t.items.select("product_id", "order_id", "price")
+    per_product = t.items.groupBy("product_id", "order_id").agg(F.sum("price").alias("price"))
+    cat_orders = (per_product
                   .join(t.products.select("product_id", "product_category_name"), "product_id")
                   .groupBy("product_category_name", "order_id")
                   .agg(F.sum("price").alias("cat_revenue")))
     per_cat = (cat_orders.groupBy("product_category_name")
                .agg(F.sum("cat_revenue").alias("_sum"), F.count("cat_revenue").alias("_n")))
-    out = (per_cat.join(broadcast_if_small(t.translation), "product_category_name")
+    out = (per_cat.join(t.translation, "product_category_name")
            .groupBy(ENGLISH).agg(mean(F.sum("_sum"), F.sum("_n")).alias("avg_revenue")))
     return out.orderBy(desc("avg_revenue"), asc(ENGLISH))
 

@@ -33,7 +33,7 @@ def top_sellers_by_orders(t: Tables, n: int = 10) -> DataFrame:
 
 def top_sellers_by_category_breadth(t: Tables, n: int = 10) -> DataFrame:
     """Q35: distinct raw categories per seller (NULL not counted), top n."""
-    rows = t.items.select("seller_id", "product_id").join(
+    rows = t.items.select("seller_id", "product_id").distinct().join(
         t.products.select("product_id", "product_category_name"), "product_id")
     counts = rows.groupBy("seller_id").agg(
         F.count_distinct("product_category_name").alias("product_cat_count"))
@@ -44,7 +44,7 @@ def top_categories_by_distinct_customers(t: Tables, n: int = 10) -> DataFrame:
     """Q36: distinct customer_ids per English category, top n."""
     rows = (t.items.select("order_id", "product_id")
             .join(t.orders.select("order_id", "customer_id"), "order_id")
-            .select("product_id", "customer_id")
+            .select("product_id", "customer_id").distinct()
             .join(facts.english_categories(t), "product_id"))
     counts = rows.groupBy(ENGLISH).agg(F.count_distinct("customer_id").alias("customer_count"))
     return top_n(counts, [desc("customer_count"), asc(ENGLISH)], n)

@@ -1,9 +1,7 @@
-"""Session construction and the shared checkpoint folder."""
+"""Session construction."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Defaults that matter at any scale: adaptive execution re-plans joins and
@@ -17,36 +15,17 @@ _DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   app_name: str = "mercato", extra: dict | None = None) -> SparkSession:
+    """A session with adaptive execution.  The number of shuffle partitions is
+    the cluster's setting unless ``shuffle_partitions`` is given."""
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(_DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
-
-    The folder comes from the session (``spark.checkpoint.dir`` or a folder
-    set on the context).  Only a local-mode session without one gets a fresh
-    scratch folder; a cluster without one is a configuration error, because a
-    machine-local folder would not survive the loss of that machine.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; point it at a shared folder")
-        configured = tempfile.mkdtemp(prefix="mercato-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured

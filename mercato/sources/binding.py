@@ -30,14 +30,10 @@ twice-reviewed orders); they derive data, they do not subset the workload.
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.plans.broadcast import broadcast_if_small
-from mercato.session import checkpoint_dir
-from mercato.sources.model import ORDER_KEYED, Tables, read_stored, write_marketplace
+from mercato.plans.dimension import dimension_join
+from mercato.sources.model import Tables
 
 # Declared schemas of the star tables that are read (given, never inferred:
 # inference would cost a Spark job per table on every bind).
@@ -133,17 +129,17 @@ def bind_star(spark: SparkSession, sf_dir: str) -> Tables:
         return spark.read.schema(STAR_SCHEMAS[name]).parquet(
             f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-    # nation key -> (city, state): 25 x 5 rows by the star-schema spec
+    # nation key -> (city, state): a dimension, whose keys may be hot
     nation, region = read("nation"), read("region")
-    places = broadcast_if_small(
-        nation.join(broadcast_if_small(region), nation["n_regionkey"] == region["r_regionkey"])
-        .selectExpr("n_nationkey", "n_name AS city", "r_name AS state"))
+    places = (nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+              .selectExpr("n_nationkey AS nationkey", "n_name AS city", "r_name AS state"))
+
+    def placed(name: str, prefix: str, key: str) -> DataFrame:
+        return dimension_join(read(name).withColumnRenamed(f"{prefix}_nationkey", "nationkey"),
+                              places, ["nationkey"], [key])
 
-    customer, supplier = read("customer"), read("supplier")
-    customers = (customer.join(places, customer["c_nationkey"] == places["n_nationkey"])
-                 .selectExpr(*_CUSTOMERS))
-    sellers = (supplier.join(places, supplier["s_nationkey"] == places["n_nationkey"])
-               .selectExpr(*_SELLERS))
+    customers = placed("customer", "c", "c_custkey").selectExpr(*_CUSTOMERS)
+    sellers = placed("supplier", "s", "s_suppkey").selectExpr(*_SELLERS)
 
     part = read("part")
     products = part.selectExpr(*_PRODUCTS)
@@ -167,82 +163,3 @@ def bind_star(spark: SparkSession, sf_dir: str) -> Tables:
 
     return Tables(customers=customers, orders=orders, sellers=sellers, products=products,
                   items=items, payments=payments, reviews=reviews, translation=translation)
-
-
-def _input_status(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
-    """(identity, total bytes) of the star files, via the Hadoop file system
-    so that any shared store works."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    h, total = hashlib.sha256(), 0
-    for name in sorted(STAR_SCHEMAS):
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        fs = path.getFileSystem(conf)
-        if fs.exists(path):
-            summary = fs.getContentSummary(path)
-            status = fs.getFileStatus(path)
-            size, mtime = summary.getLength(), status.getModificationTime()
-            total += size
-        else:
-            size, mtime = -1, -1
-        h.update(f"{name}:{size}:{mtime};".encode())
-    h.update(sf_dir.encode())
-    return h.hexdigest()[:16], total
-
-
-def storage_files(spark: SparkSession, input_bytes: int,
-                  target_bytes: int = 64 * 1024 * 1024) -> int:
-    """Files (and buckets) per stored table: enough for every core to scan,
-    about ``target_bytes`` of input each at scale, never more than the shuffle
-    partitions (so a bucketed side matches a shuffled side)."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_size = -(-input_bytes // target_bytes)
-    return max(1, min(partitions, max(spark.sparkContext.defaultParallelism, by_size)))
-
-
-def stored_star(spark: SparkSession, sf_dir: str, base: str | None = None,
-                bucketed: bool = False) -> Tables:
-    """The bound model tables, stored once as Parquet and read back.
-
-    This is the load step of the model: the binding's conversions (decimal
-    money, derived statuses and timestamps) run once, and every report then
-    scans stored model columns, with filter pushdown on them and one scan
-    task per stored file.  The tables go to ``base`` or to the session's
-    shared checkpoint folder, keyed by the identity of the input files.  With
-    ``bucketed`` the order-keyed fact tables are bucketed by order_id, so
-    order-keyed joins skip the shuffle; it is off by default because a hot
-    order would then be processed by one task (see ``write_marketplace``).
-    """
-    bound = bind_star(spark, sf_dir)
-    identity, input_bytes = _input_status(spark, sf_dir)
-    files = storage_files(spark, input_bytes)
-    layout = f"{identity}_{files}{'b' if bucketed else ''}"
-    root = f"{(base or checkpoint_dir(spark)).rstrip('/')}/mercato-model-{layout}"
-    prefix = f"mercato_{layout}" if bucketed else None
-    marker = _hadoop_path(spark, f"{root}/_COMPLETE")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(marker):
-        root = _publish(spark, fs, bound, root, files, prefix)
-    return read_stored(spark, root, bound, bucketed_as=prefix, files=files)
-
-
-def _publish(spark: SparkSession, fs, bound: Tables, root: str, files: int,
-             prefix: str | None) -> str:
-    """Write the tables to a fresh folder, mark it complete, then rename it to
-    ``root``, so a reader never sees half-written tables.  If another writer
-    got there first, the fresh (complete) folder is used as it is."""
-    fresh = f"{root}.tmp-{uuid.uuid4().hex}"
-    write_marketplace(bound, fresh, files, bucketed_as=prefix)
-    if prefix:  # tables registered at the fresh folder are registered again by read_stored
-        for name in ORDER_KEYED:
-            spark.sql(f"DROP TABLE IF EXISTS {prefix}_{name}")
-    fs.create(_hadoop_path(spark, f"{fresh}/_COMPLETE"), True).close()
-    target = _hadoop_path(spark, root)
-    if not fs.exists(target) and fs.rename(_hadoop_path(spark, fresh), target):
-        return root
-    return fresh
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    """A Hadoop path, so the marker check works on any shared file system."""
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.sources import schemas
@@ -59,27 +60,45 @@ _FIELD_OF = {
 }
 
 
+# Quoted fields may hold line breaks, and quotes that are doubled; a value that
+# does not fit its declared type is an error, not a NULL.
+_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
+
+# No report reads it, so a data set without it is complete.
+OPTIONAL = {"geolocation"}
+
+
 def read_marketplace(spark: SparkSession, path: str, fmt: str = "parquet",
                      options: dict | None = None) -> Tables:
-    """Read the nine tables stored as ``{path}/{table_name}`` with declared schemas.
+    """Read the tables stored as ``{path}/{table_name}`` with declared schemas.
 
     The schema is given, never inferred, so a scan starts without a sampling
     pass and a wrong type fails loudly.  Parquet/ORC scans get column pruning
-    and filter pushdown from Catalyst.  ``fmt='csv'`` expects a header line.
+    and filter pushdown from Catalyst.  Without a ``geolocation`` folder that
+    table is None.
+
+    ``fmt='csv'`` expects a header line and reads quoted line breaks and
+    doubled quotes.  Such a file cannot be split: store a large table as many
+    files, or convert it once with ``write_marketplace``.
     """
-    opts = {"header": "true"} if fmt == "csv" else {}
+    opts = dict(_CSV) if fmt == "csv" else {}
     opts.update(options or {})
     loaded = {}
     for name, schema in schemas.SCHEMAS.items():
         reader = spark.read.format(fmt).schema(schema).options(**opts)
-        loaded[_FIELD_OF[name]] = reader.load(f"{path.rstrip('/')}/{name}")
+        try:
+            loaded[_FIELD_OF[name]] = reader.load(f"{path.rstrip('/')}/{name}")
+        except AnalysisException as missing:
+            if name not in OPTIONAL or missing.getCondition() != "PATH_NOT_FOUND":
+                raise
     return Tables(**loaded)
 
 
 def from_catalog(spark: SparkSession, database: str) -> Tables:
     """Tables registered in a catalog database under the model names."""
     return Tables(**{_FIELD_OF[name]: spark.table(f"{database}.{name}")
-                     for name in schemas.SCHEMAS})
+                     for name in schemas.SCHEMAS
+                     if name not in OPTIONAL or spark.catalog.tableExists(f"{database}.{name}")})
 
 
 def from_frames(spark: SparkSession, rows: dict[str, list]) -> Tables:
@@ -88,54 +107,18 @@ def from_frames(spark: SparkSession, rows: dict[str, list]) -> Tables:
                      for name, schema in schemas.SCHEMAS.items()})
 
 
-# fact tables stored bucketed by order_id, so joins and aggregations on it
-# between them need no shuffle (same key, same bucket count)
-ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")
-
-
-def _table_name(prefix: str, name: str) -> str:
-    return f"{prefix}_{name}"
+def files_for(input_bytes: int, cores: int, target_bytes: int = 128 << 20) -> int:
+    """Files to store a table in: enough for every core to scan, and about
+    ``target_bytes`` of input each at scale."""
+    return max(1, cores, -(-input_bytes // target_bytes))
 
 
-def write_marketplace(tables: Tables, path: str, files: int,
-                      bucketed_as: str | None = None) -> None:
+def write_marketplace(tables: Tables, path: str, files: int) -> None:
     """Store the model tables as Parquet under ``{path}/{table_name}``.
 
-    Rows are spread round-robin over ``files`` files, so a later scan runs as
-    parallel tasks and no key, however hot, makes one file large.  With
-    ``bucketed_as`` (a table name prefix) the order-keyed fact tables are
-    instead bucketed by order_id into ``files`` buckets and registered as
-    tables: order-keyed joins and aggregations between them then need no
-    shuffle, but each bucket is scanned by one task and AQE cannot split a
-    skewed join without a shuffle, so use it only where no order is hot.
+    Rows are spread round-robin over ``files`` files (see ``files_for``), so a
+    later scan runs as parallel tasks and no key, however hot, makes one file
+    large.  ``read_marketplace`` reads them back.
     """
-    spark = tables.orders.sparkSession
     for name, df in tables.by_model_name().items():
-        target = f"{path.rstrip('/')}/{name}"
-        if bucketed_as and name in ORDER_KEYED:
-            spark.sql(f"DROP TABLE IF EXISTS {_table_name(bucketed_as, name)}")
-            # the hash partitioning matches the bucketing hash: one file per bucket
-            (df.repartition(files, "order_id").write.mode("overwrite")
-             .bucketBy(files, "order_id").format("parquet").option("path", target)
-             .saveAsTable(_table_name(bucketed_as, name)))
-        else:
-            df.repartition(files).write.mode("overwrite").parquet(target)
-
-
-def read_stored(spark: SparkSession, path: str, like: Tables,
-                bucketed_as: str | None = None, files: int | None = None) -> Tables:
-    """Read tables written by ``write_marketplace`` with the schemas of ``like``
-    (given, not inferred).  Bucketed tables are (re-)registered over their
-    files, since a session catalog does not outlive its session."""
-    out = {}
-    for name, df in like.by_model_name().items():
-        target = f"{path.rstrip('/')}/{name}"
-        if bucketed_as and name in ORDER_KEYED:
-            table = _table_name(bucketed_as, name)
-            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet "
-                      f"CLUSTERED BY (order_id) INTO {files} BUCKETS LOCATION '{target}'")
-            out[_FIELD_OF[name]] = spark.table(table)
-        else:
-            out[_FIELD_OF[name]] = spark.read.schema(df.schema).parquet(target)
-    return Tables(**out)
+        df.repartition(files).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")

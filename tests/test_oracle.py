@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from mercato.reports import REPORTS
 from oracle_compare import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = {k: v for k, v in entry.queries().items() if k in REPORTS}
+ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in REPORTS}
 
 
 @pytest.fixture(scope="module")

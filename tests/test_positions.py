@@ -1,4 +1,4 @@
-"""Position-based window replacements against Spark's own windows."""
+"""Bucketed window replacements against Spark's own windows."""
 
 import random
 
@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mercato.operators.ranking import dense_rank_at_most
+from mercato.plans.dimension import dimension_join
 from mercato.plans.positions import (global_positions, group_dense_rank, lag_by_position,
-                                     ntile_of_position, scalable_ntile)
+                                     ntile_of_position, scalable_ntile, with_bucket)
 
 
 def _values(n, seed, hot=None):
@@ -16,15 +18,19 @@ def _values(n, seed, hot=None):
     for i in range(n):
         g = hot if hot is not None and rnd.random() < 0.5 else f"g{rnd.randint(0, 4)}"
         v = rnd.choice([None, *range(8)]) if rnd.random() < 0.9 else None
-        rows.append((i, g, v))
+        rows.append((i, g if rnd.random() < 0.97 else None, v))
     return rows
 
 
-@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 10, 22, 257])
+def _frame(spark, n, seed, hot=None):
+    return spark.createDataFrame(_values(n, seed, hot), "id long, g string, v int").repartition(4)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 10, 22, 257, 1500])
 def test_scalable_ntile_matches_ntile(spark, n):
-    df = spark.createDataFrame(_values(n, n), "id long, g string, v int").repartition(3)
+    df = _frame(spark, n, n)
+    ours = scalable_ntile(df, ["v", "id"], 4, "tile").select("id", "tile")
     order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
-    ours = scalable_ntile(df, order, 4, "tile").select("id", "tile")
     ref = df.select("id", F.ntile(4).over(Window.orderBy(*order)).cast("bigint").alias("tile"))
     assert sorted(ours.collect()) == sorted(ref.collect())
 
@@ -37,43 +43,75 @@ def test_ntile_formula_small_n(spark):
 
 
 def test_global_positions_are_a_permutation(spark):
-    df = spark.createDataFrame(_values(300, 7), "id long, g string, v int").repartition(5)
-    pos = global_positions(df, [F.col("v").asc_nulls_first(), F.col("id").asc()])
-    rows = pos.orderBy("_pos").collect()
+    rows = global_positions(_frame(spark, 300, 7), ["v", "id"]).orderBy("_pos").collect()
     assert [r._pos for r in rows] == list(range(1, 301))
     keys = [((r.v is not None), r.v or 0, r.id) for r in rows]
     assert keys == sorted(keys)
 
 
+def test_equal_values_are_cut_into_buckets(spark):
+    df = spark.range(20_000).select(F.lit(7).alias("v"), "id")
+    sizes = [r["count"] for r in with_bucket(df, ["v", "id"]).groupBy("_bucket").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 600
+
+
 @pytest.mark.parametrize("hot", [None, "hot"])
-def test_group_dense_rank_matches_window(spark, hot):
-    df = spark.createDataFrame(_values(400, 11, hot), "id long, g string, v int").repartition(4)
-    ours = group_dense_rank(df, ["g"], "v", "r").select("id", "r")
+@pytest.mark.parametrize("n", [0, 40, 3000])
+def test_group_dense_rank_matches_window(spark, hot, n):
+    df = _frame(spark, n, 11, hot)
+    ours = group_dense_rank(df, ["g"], "v", "r", ["id"]).select("id", "r")
     w = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last())
     ref = df.select("id", F.dense_rank().over(w).cast("bigint").alias("r"))
     assert sorted(ours.collect()) == sorted(ref.collect())
 
 
 @pytest.mark.parametrize("hot", [None, "hot"])
-def test_lag_by_position_matches_window(spark, hot):
-    df = spark.createDataFrame(_values(400, 13, hot), "id long, g string, v int").repartition(4)
+@pytest.mark.parametrize("n", [0, 40, 3000])
+def test_lag_by_position_matches_window(spark, hot, n):
+    df = _frame(spark, n, 13, hot)
+    ours = lag_by_position(df, ["g"], ["v", "id"], "id", "prev").select("id", "prev")
     order = [F.col("v").asc_nulls_first(), F.col("id").asc()]
-    ours = lag_by_position(df, ["g"], order, "id", "prev").select("id", "prev")
     ref = df.select("id", F.lag("id").over(Window.partitionBy("g").orderBy(*order)).alias("prev"))
+    assert sorted(ours.collect(), key=str) == sorted(ref.collect(), key=str)
+
+
+@pytest.mark.parametrize("partition", [[], ["g"]])
+@pytest.mark.parametrize("k", [1, 3, 2000])
+def test_rank_filter_matches_window(spark, partition, k):
+    df = _frame(spark, 800, 19, "hot")
+    ours = dense_rank_at_most(df, partition, "v", k, "r", ["id"]).select("id", "r")
+    w = Window.partitionBy(*partition).orderBy(F.col("v").desc_nulls_last())
+    ref = df.select("id", F.dense_rank().over(w).cast("bigint").alias("r")).where(f"r <= {k}")
     assert sorted(ours.collect()) == sorted(ref.collect())
 
 
-@pytest.mark.parametrize("limit", [None, "0"])
-def test_dimension_join_broadcast_and_salted_agree(spark, limit):
-    from mercato.plans.broadcast import dimension_join
+def test_rank_filter_spreads_ties(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(20_000).select("id", F.lit(1.5).alias("v"))
+        top = dense_rank_at_most(df, [], "v", 5, "r", ["id"])
+        sizes = [r["count"] for r in top.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and len(sizes) > 3 and max(sizes) < 10_000
+        many = dense_rank_at_most(spark.range(50_000).withColumnRenamed("id", "v").withColumn("id", F.col("v")),
+                                  [], "v", 2000, "r", ["id"])
+        assert many.count() == 2000
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "_share" in plan and plan.count("<= 2000") >= 2  # a limit before the single task
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_dimension_join_is_an_inner_join(spark, threshold):
     big = spark.createDataFrame(_values(500, 17, "hot"), "id long, g string, v int")
     small = spark.createDataFrame([("hot", 1), ("g1", 2), (None, 3)], "g string, w int")
-    if limit:
-        spark.conf.set("mercato.broadcast.maxBytes", limit)  # force the salted path
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         got = dimension_join(big, small, ["g"], ["id"], salts=7, null_safe=True)
         ref = big.join(small, big["g"].eqNullSafe(small["g"])).select(big["id"], big["g"],
                                                                       big["v"], small["w"])
-        assert sorted(got.select("id", "g", "v", "w").collect()) == sorted(ref.collect())
+        assert sorted(got.select("id", "g", "v", "w").collect(), key=str) == sorted(ref.collect(), key=str)
     finally:
-        spark.conf.unset("mercato.broadcast.maxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
