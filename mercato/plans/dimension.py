@@ -31,5 +31,7 @@ def dimension_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: l
     for k in on:
         cond = cond & (F.col(k).eqNullSafe(F.col(f"_dim_{k}")) if null_safe
                        else F.col(k) == F.col(f"_dim_{k}"))
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(n)).cast("int"))
+    # never null, so no filter on it reaches below big's aggregates
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.lit(n)).cast("int"), F.lit(0))
+    salted = big.withColumn("_salt", salt)
     return salted.join(dim, cond).drop(*[f"_dim_{k}" for k in on], "_salt", "_dim_salt")

@@ -275,3 +275,68 @@ def test_growth_after_a_zero_month_is_null(spark):
     got = rows(period_growth(months, "yearmonth", "n", "prev", "growth"))
     assert got == [("2020-01", 0, None, None), ("2020-02", 10, 0, None),
                    ("2020-04", 5, 10, -50.0)]
+
+
+def _orders(n, customer="c1", day=T(2020, 1, 1)):
+    return [(f"k{i}", customer, "delivered", day, None, None, T(2020, 1, 3), T(2020, 2, 1))
+            for i in range(n)]
+
+
+def test_rank_ties_at_ranks_1_3_and_5(spark):
+    # spends 9, 9, 8, 7, 7, 6, 5, 5, 4: dense ranks 1 1 2 3 3 4 5 5 6
+    spends = [9, 9, 8, 7, 7, 6, 5, 5, 4]
+    n = len(spends)
+    t = from_frames(spark, {
+        "customers": [(f"c{i}", f"p{i}", None, "City", "ST") for i in range(n)],
+        "orders": [(f"o{i}", f"c{i}", "delivered", T(2020, 1, 1), None, None, None, None) for i in range(n)],
+        "order_payments": [(f"o{i}", 1, "x", 1, D(v)) for i, v in enumerate(spends)],
+        "order_items": [(f"o{i}", 1, f"g{i}", f"s{i}", None, D(v), D(0)) for i, v in enumerate(spends)],
+        "products": [(f"g{i}", f"cat{i}", *[None] * 7) for i in range(n)],
+        "product_category_name_translation": [(f"cat{i}", f"en{i}") for i in range(n)],
+    })
+    assert rows(advanced.top_spenders(t)) == [(f"p{i}", float(v)) for i, v in enumerate(spends) if v >= 5]
+    assert [(r[1], r[3]) for r in rows(advanced.top_spenders_per_city(t))] == [
+        ("p0", 1), ("p1", 1), ("p2", 2), ("p3", 3), ("p4", 3)]
+    assert [(r[1], r[3]) for r in rows(advanced.top_seller_per_state(t))] == [("s0", 1), ("s1", 1)]
+    assert [(r[1], r[3]) for r in rows(advanced.top_categories_per_state(t))] == [
+        ("en0", 1), ("en1", 1), ("en2", 2), ("en3", 3), ("en4", 3)]
+    assert [r[7] for r in sorted(advanced.customer_scorecard(t).collect())] == [1, 1, 2, 3, 3, 4, 5, 5, 6]
+
+
+def test_thresholds_count_distinct_orders(spark):
+    # s50: 50 orders of one item; s49: 49 orders, one of them with three items
+    items = [(f"k{i}", 1, "pA", "s50", None, D("1.00"), D("2.00")) for i in range(50)]
+    items += [(f"k{i}", 2, "pA", "s49", None, D("1.00"), D("9.00")) for i in range(49)]
+    items += [("k0", 3, "pA", "s49", None, D("1.00"), D("9.00")), ("k0", 4, "pA", "s49", None, D("1.00"), D("9.00"))]
+    t = from_frames(spark, {"orders": _orders(50), "order_items": items})
+    assert rows(sellers.avg_freight_per_order_by_seller(t)) == [("s50", 2.0)]
+    assert rows(delivery.top_sellers_by_delivered(t)) == [("s50", 50)]
+    assert rows(delivery.fastest_sellers_min_orders(t)) == [("s50", 2.0)]
+    # shown are item rows, the threshold is on orders
+    assert rows(delivery.top_sellers_by_delivered(t, min_orders=49)) == [("s49", 51), ("s50", 50)]
+
+
+def test_q60_timestamp_ties_go_by_order_id(spark):
+    t = from_frames(spark, {
+        "customers": [("c1", "p1", None, "X", "Y"), ("c2", "p1", None, "X", "Y"), ("c3", "p2", None, "X", "Y")],
+        "orders": [(f"o{i}", c, "delivered", T(2020, 1, 1), None, None, None, None)
+                   for i, c in enumerate(["c1", "c2", "c1", "c3"])],
+        "order_payments": [(f"o{i}", 1, "x", 1, D(v)) for i, v in enumerate([1, 10, 100, 1000])],
+    })
+    assert [(r[0], r[1], r[3], r[4], r[5]) for r in rows(advanced.order_value_change(t))] == [
+        ("p1", "o1", 10.0, 1.0, 9.0), ("p1", "o2", 100.0, 10.0, 90.0)]
+
+
+def test_collation_merges_the_ranks_of_two_spellings(spark):
+    t = from_frames(spark, {
+        "customers": [("c1", "p1", None, "São Paulo", "SP"), ("c2", "p2", None, "sao paulo", "SP")],
+        "orders": [(f"o{i}", f"c{i}", "delivered", T(2020, 1, i), None, None, None, None) for i in (1, 2)],
+        "order_payments": [("o1", 1, "x", 1, D(5)), ("o2", 1, "x", 1, D(7))],
+    })
+    assert [(r[0], r[1], r[3]) for r in rows(advanced.top_spenders_per_city(t))] == [
+        ("São Paulo", "p1", 1), ("sao paulo", "p2", 1)]
+    assert [(r[0], r[1], r[3]) for r in rows(advanced.top_spenders_per_city(t, city_collation="UNICODE_CI_AI"))] == [
+        ("São Paulo", "p1", 2), ("São Paulo", "p2", 1)]
+    assert [(r[0], r[1], r[7]) for r in rows(advanced.customer_scorecard(t, city_collation="UNICODE_CI_AI"))] == [
+        ("p1", "São Paulo", 2), ("p2", "São Paulo", 1)]
+    assert [r[7] for r in rows(advanced.customer_scorecard(t))] == [1, 1]
