@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-PIECE_BYTES = 4 << 20
+#: Bytes of text for which arrays per character, or per text, are made at once.
+PIECE_BYTES, SLICE_BYTES = 1 << 20, 4 << 20
+
+
+def _trim():
+    """The C library's call that returns freed memory, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function of batches, that gives freed memory back at its
+    end: a Python worker waits for its next task beside the executor's JVM,
+    while Arrow and the C library would keep what the last one used."""
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+    return tidied
 
 
 def keep_other_columns(df: DataFrame, *new: str) -> list[str]:
@@ -43,7 +64,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[StructField],
                 yield pa.RecordBatch.from_arrays(
                     arrays[:n_kept] + compute(arrays[n_kept:]), names=names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tidy(run), schema)
 
 
 def text_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +79,7 @@ def text_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(array: pa.Array, most: int = PIECE_BYTES) -> Iterator[pa.Array]:
+def slices(array: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Consecutive slices of a string array of about ``most`` bytes; a longer
     text is a slice of its own."""
     _, offsets = text_view(array)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm._arrow import binary_array, column, slices
+from mercato.llm._arrow import binary_array, column, slices, tidy
 from mercato.llm._store import checkpointed
 from mercato.llm._words import NOT_ALNUM, Words, mix
 
@@ -98,7 +98,7 @@ def _met(packed: DataFrame, partitions: int, work: Callable, schema: T.StructTyp
                     held.extend(values.slice(a, b - a).to_pylist())
         if columns:
             yield from work(*columns)
-    return packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(tidy(run), schema)
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def word_table(texts: DataFrame, partitions: int) -> DataFrame:
     """word (hash), n: the count of each word; the start sign's is that of the
     documents with a word."""
     packed = _packed_schema("words", "counts")
-    return _met(texts.select("text").mapInArrow(_count_words(4 * partitions, packed), packed), partitions,
+    return _met(texts.select("text").mapInArrow(tidy(_count_words(4 * partitions, packed)), packed), partitions,
                 _sum_words, T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())]))
 
 
@@ -339,7 +339,7 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", alpha: float =
     hot = spark.sparkContext.broadcast(_Hot(np.array([r["word"] for r in top], np.uint64),
                                             np.array([r["n"] for r in top], np.int64), total))
     dealt = _packed_schema("befores", "follows", "words", "documents", "docs", "counts")
-    pairs = texts.mapInArrow(_deal_pairs(parts, hot, dealt), dealt)
+    pairs = texts.mapInArrow(tidy(_deal_pairs(parts, hot, dealt)), dealt)
     scored = _met(pairs, partitions, _score_pairs(parts, hot, alpha, least), _JOINED)
     counted = table.mapInArrow(_pack_table(parts), _JOINED)
     backed = _met(scored.union(counted), partitions, _score_words(parts), _SUMS)

@@ -33,7 +33,7 @@ from mercato.llm._arrow import (PIECE_BYTES, append_columns, binary_array, doc_r
 from mercato.llm._words import mix
 
 #: Bounded memory of one worker: distinct merged pre-tokens it remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 OTHER, LETTER, NUMBER, WHITE, BLANK = range(5)
 
@@ -373,8 +373,8 @@ class Encoder:
             values = ids[row].values
             values = (np.zeros(0, np.int64) if values is None
                       else values.to_numpy(zero_copy_only=False).astype(np.int64))
-            out.append(b"".join(self._bytes(values[k:k + PIECE_BYTES // 8])
-                                for k in range(0, len(values), PIECE_BYTES // 8)))
+            out.append(b"".join(self._bytes(values[k:k + PIECE_BYTES // 2])
+                                for k in range(0, len(values), PIECE_BYTES // 2)))
         return binary_array(out)
 
     def _bytes(self, ids: np.ndarray) -> bytes:
@@ -427,8 +427,8 @@ def round_trip(df: DataFrame, vocabulary, text: str = "text") -> DataFrame:
                 count.append(b - a)
                 ids_sha.append(hashlib.sha256(values[a:b]).hexdigest())
                 digest = hashlib.sha256()
-                for k in range(a, b, PIECE_BYTES // 8):
-                    digest.update(encoder._bytes(values[k:min(b, k + PIECE_BYTES // 8)].astype(np.int64)))
+                for k in range(a, b, PIECE_BYTES // 2):
+                    digest.update(encoder._bytes(values[k:min(b, k + PIECE_BYTES // 2)].astype(np.int64)))
                 text_sha.append(digest.hexdigest())
         return [pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()),
                 pa.array(text_sha, pa.string())]

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm._arrow import binary_array, column, list_array, slices
+from mercato.llm._arrow import binary_array, column, list_array, slices, tidy
 from mercato.llm._store import checkpointed
 from mercato.llm._words import NOT_ALNUM, Words, chain, mix
 
@@ -186,7 +186,7 @@ def sketch(df: DataFrame, plan: Plan, text: str, key: str) -> DataFrame:
                     list_array(offsets, pa.array(keys[has].reshape(-1).view(np.int64)))], names=schema.names)
                 at += n
 
-    return df.select(column(df, key), column(df, text)).mapInArrow(run, schema)
+    return df.select(column(df, key), column(df, text)).mapInArrow(tidy(run), schema)
 
 
 def _sets(df: DataFrame, plan: Plan, text: str, key: str) -> DataFrame:
@@ -210,7 +210,7 @@ def _sets(df: DataFrame, plan: Plan, text: str, key: str) -> DataFrame:
                                   for a, b in pairs])], names=schema.names)
                 at += len(part)
 
-    return df.select(column(df, key), column(df, text)).mapInArrow(run, schema)
+    return df.select(column(df, key), column(df, text)).mapInArrow(tidy(run), schema)
 
 
 def similarity(a: bytes, b: bytes, wa: bytes = b"", wb: bytes = b"") -> float:
@@ -271,7 +271,7 @@ def confirmed(pairs: DataFrame, sizes: DataFrame, packed: DataFrame, plan: Plan)
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return both.select("a", "b", "ea", "eb", "wa", "wb").mapInArrow(check, schema)
+    return both.select("a", "b", "ea", "eb", "wa", "wb").mapInArrow(tidy(check), schema)
 
 
 def components(links: DataFrame) -> DataFrame:

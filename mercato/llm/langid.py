@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm._arrow import append_columns, column, doc_rank, text_view
+from mercato.llm._arrow import append_columns, column, doc_rank, text_view, tidy
 from mercato.llm._words import SPACE, pieces
 from mercato.llm.bpe import LETTER, _code_points, character_classes
 
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
 
     rows = docs.select(column(docs, text).alias("text"), column(docs, lang).alias("lang"))
     counts = (rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-              .mapInArrow(count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+              .mapInArrow(tidy(count), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return (counts.withColumn("rank", F.row_number().over(order) - 1)
             .where(F.col("rank") < size).select("lang", "gram", "rank"))

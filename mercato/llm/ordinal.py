@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.llm._arrow import append_columns, binary_array, column, slices
+from mercato.llm._arrow import append_columns, binary_array, column, slices, tidy
 from mercato.llm._store import checkpointed
 from mercato.llm._words import NOT_ALNUM, SPACE, Words
 
@@ -179,7 +179,7 @@ def fit(rated: DataFrame, grades: int, text: str = "text", grade: str = "grade",
                 ], names=schema.names)
                 at += len(part)
 
-    table = checkpointed(some.mapInArrow(hashed, schema))
+    table = checkpointed(some.mapInArrow(tidy(hashed), schema))
     share = {r["grade"]: r["count"] for r in table.groupBy("grade").count().collect()}
     total = sum(share.values())
     above = np.array([sum(c for g, c in share.items() if g > k) for k in range(grades - 1)])

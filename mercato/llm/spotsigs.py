@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from mercato.llm._arrow import PIECE_BYTES, append_columns, column, slices
+from mercato.llm._arrow import SLICE_BYTES, append_columns, column, slices, tidy
 from mercato.llm._words import NOT_ALNUM, Words, mix
 
 #: Content words in a chain.
@@ -195,13 +195,13 @@ def edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         for row in with_next(batches):
             rows.append(row)
             size += len(row[1])
-            if size >= PIECE_BYTES // 2:
+            if size >= SLICE_BYTES // 2:
                 yield _described(rows, anchors, schema)
                 rows, size = [], 0
         if rows:
             yield _described(rows, anchors, schema)
 
-    return in_blocks(df, key, text).mapInArrow(run, schema)
+    return in_blocks(df, key, text).mapInArrow(tidy(run), schema)
 
 
 def _described(rows: list[tuple], anchors: np.ndarray, schema: T.StructType) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm._arrow import column
+from mercato.llm._arrow import column, tidy
 
 CHUNK = 1 << 20
 CRLF = "\r\n"
@@ -180,7 +180,7 @@ def read_chunks(spark: SparkSession, path: str, with_payload: bool = True) -> Da
             raise ValueError("an archive ends within a record")
 
     pieces = spark.read.option("lineSep", SEPARATOR).schema("value string").text(path)
-    return pieces.mapInArrow(run, READ_SCHEMA)
+    return pieces.mapInArrow(tidy(run), READ_SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
