@@ -80,27 +80,49 @@ def _packed_schema(*names: str) -> T.StructType:
                         + [T.StructField(n, T.BinaryType()) for n in names])
 
 
-def _met(packed: DataFrame, partitions: int, work: Callable, schema: T.StructType) -> DataFrame:
-    """``work`` on all rows of each part, one part after the other."""
+#: Results that a task holds before it deals them out.
+_HELD = 4_000_000
+
+
+def _met(packed: DataFrame, partitions: int, work: Callable, emit: Callable, schema: T.StructType) -> DataFrame:
+    """``work`` on all rows of each part, one part after the other, gives a
+    tuple of arrays; ``emit`` makes batches of what a task's parts gave."""
     def run(batches: Iterator[pa.RecordBatch]):
-        part, columns = None, []
-        for batch in batches:
-            parts = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if parts[a] != part:
-                    if columns:
-                        yield from work(*columns)
-                    part, columns = parts[a], [[] for _ in batch.columns[1:]]
-                for held, values in zip(columns, batch.columns[1:]):
-                    held.extend(values.slice(a, b - a).to_pylist())
-        if columns:
-            yield from work(*columns)
+        results: list[tuple] = []
+
+        def done():
+            columns = [np.concatenate(x) for x in zip(*results)]
+            results.clear()
+            return emit(*columns)
+
+        for columns in _parts(batches):
+            results.append(work(*columns))
+            if sum(len(x) for r in results for x in r) > _HELD:
+                yield from done()
+        if results:
+            yield from done()
     return packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(tidy(run), schema)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of each part's rows, which are sorted by part."""
+    part, columns = None, []
+    for batch in batches:
+        parts = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if parts[a] != part:
+                if columns:
+                    yield columns
+                part, columns = parts[a], [[] for _ in batch.columns[1:]]
+            for held, values in zip(columns, batch.columns[1:]):
+                held.extend(values.slice(a, b - a).to_pylist())
+    if columns:
+        yield columns
+
+
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their values."""
     order = np.argsort(keys, kind="stable")
@@ -157,9 +179,15 @@ def _count_words(parts: int, schema: T.StructType):
 
 
 def _sum_words(hashes, counts):
-    h, n = _sums(np.concatenate([unpack(x, np.uint64) for x in hashes]),
-                 np.concatenate([unpack(x, np.int64) for x in counts]))
-    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], names=["word", "n"])
+    return _sums(_all(hashes, np.uint64), _all(counts, np.int64))
+
+
+def _rows(*names: str) -> Callable:
+    """Batches of plain rows from arrays."""
+    def emit(*columns):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=list(names))
+    return emit
 
 
 def word_table(texts: DataFrame, partitions: int) -> DataFrame:
@@ -167,7 +195,7 @@ def word_table(texts: DataFrame, partitions: int) -> DataFrame:
     documents with a word."""
     packed = _packed_schema("words", "counts")
     return _met(texts.select("text").mapInArrow(tidy(_count_words(4 * partitions, packed)), packed), partitions,
-                _sum_words, T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())]))
+                _sum_words, _rows("word", "n"), T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())]))
 
 
 class _Hot:
@@ -234,16 +262,22 @@ _SUMS = _packed_schema("documents", "scores", "events")
 _JOINED = _packed_schema("documents", "scores", "events", "words", "owners", "counts", "table", "n")
 
 
-def _deal_documents(doc: np.ndarray, score: np.ndarray, events: np.ndarray, parts: int) -> pa.RecordBatch:
-    """The sums per document, by the hash of the document."""
+def _per_document(doc: np.ndarray, score: np.ndarray, events: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct documents, ascending, with the sums of scores and events."""
     order = np.argsort(doc, kind="stable")
-    doc, score, events = doc[order], score[order], events[order]
+    doc, score, events = doc[order], score[order].astype(np.float64), events[order].astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     if len(edge):
         doc, score, events = doc[edge], np.add.reduceat(score, edge), np.add.reduceat(events, edge)
+    return doc, score, events
+
+
+def _deal_documents(doc: np.ndarray, score: np.ndarray, events: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The sums per document, by the hash of the document."""
+    doc, score, events = _per_document(doc, score, events)
     part = _part_of(doc.view(np.uint64), parts)
     order = np.argsort(part, kind="stable")
-    return _deal(part[order], parts, [doc[order], score[order], events[order].astype(np.int64)], _SUMS)
+    return _deal(part[order], parts, [doc[order], score[order], events[order]], _SUMS)
 
 
 def _joined(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -284,14 +318,17 @@ def _score_pairs(parts: int, hot, alpha: float, least: int):
         scored = word != _END
         row = np.repeat(np.arange(len(word)), n)
         use = scored[row]
-        yield _joined(_deal_documents(doc[use], (value[row] * count)[use], count[use], parts))
         away = (scored & ~seen & (word_count == 0))[row]
-        w, o, c = word[row][away], doc[away], count[away]
-        part = _part_of(w, parts)
-        order = np.lexsort((w, part))
-        yield _joined(_deal(part[order], parts, [w[order], o[order], c[order].astype(np.int32)],
+        return (*_per_document(doc[use], (value[row] * count)[use], count[use]),
+                word[row][away], doc[away], count[away].astype(np.int32))
+
+    def emit(doc, score, events, word, owner, number):
+        yield _joined(_deal_documents(doc, score, events, parts))
+        part = _part_of(word, parts)
+        order = np.lexsort((word, part))
+        yield _joined(_deal(part[order], parts, [word[order], owner[order], number[order]],
                             _packed_schema("words", "owners", "counts")))
-    return work
+    return work, emit
 
 
 def _pack_table(parts: int):
@@ -312,17 +349,18 @@ def _score_words(parts: int):
         table, number = table[order], number[order]
         word, owner, count = _all(words, np.uint64), _all(owners, np.int64), _all(counts, np.int32)
         value = np.log(number[np.searchsorted(table, word)]) * count if len(word) else np.zeros(0)
-        yield _deal_documents(np.concatenate([_all(documents, np.int64), owner]),
-                              np.concatenate([_all(scores, np.float64), value]),
-                              np.concatenate([_all(events, np.int64), np.zeros(len(owner), np.int64)]), parts)
-    return work
+        return _per_document(np.concatenate([_all(documents, np.int64), owner]),
+                             np.concatenate([_all(scores, np.float64), value]),
+                             np.concatenate([_all(events, np.int64), np.zeros(len(owner), np.int64)]))
+
+    def emit(doc, score, events):
+        yield _deal_documents(doc, score, events, parts)
+    return work, emit
 
 
 def _sum_documents(documents, scores, events):
-    doc, score = _sums(_all(documents, np.int64), _all(scores, np.float64))
-    _, n = _sums(_all(documents, np.int64), _all(events, np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(score)],
-                                     names=["id", "n_words", "log_score"])
+    doc, score, n = _per_document(_all(documents, np.int64), _all(scores, np.float64), _all(events, np.int64))
+    return doc, n, score
 
 
 def score(df: DataFrame, text: str = "text", key: str = "doc_id", alpha: float = ALPHA,
@@ -340,10 +378,11 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", alpha: float =
                                             np.array([r["n"] for r in top], np.int64), total))
     dealt = _packed_schema("befores", "follows", "words", "documents", "docs", "counts")
     pairs = texts.mapInArrow(tidy(_deal_pairs(parts, hot, dealt)), dealt)
-    scored = _met(pairs, partitions, _score_pairs(parts, hot, alpha, least), _JOINED)
-    counted = table.mapInArrow(_pack_table(parts), _JOINED)
-    backed = _met(scored.union(counted), partitions, _score_words(parts), _SUMS)
-    sums = _met(backed, partitions, _sum_documents, T.StructType([
+    # what a task found goes on by part, one row for each that it has any for
+    scored = _met(pairs, partitions, *_score_pairs(partitions, hot, alpha, least), _JOINED)
+    counted = table.mapInArrow(_pack_table(partitions), _JOINED)
+    backed = _met(scored.union(counted), partitions, *_score_words(partitions), _SUMS)
+    sums = _met(backed, partitions, _sum_documents, _rows("id", "n_words", "log_score"), T.StructType([
         T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()),
         T.StructField("log_score", T.DoubleType())]))
     sums = sums.withColumn("id", F.expr(f"nullif(id, {_NULL})"))
