@@ -17,8 +17,8 @@ centre, the text that meets most others over all its keys (the original among
 its copies), and the pairs are checked exactly on their sets.  Classes are the
 connected components of the confirmed links; labels spread over joins, with
 checkpoints.  Where a key still holds several classes, its texts are dealt
-into 16 lots, and paired with the centres of all lots that are of another
-class: nearly all pairs of a small key, a linear number of a large one's.
+into lots, and paired with the centres of all lots that are of another class:
+nearly all pairs of a small key, a linear number of a large one's.
 Texts of equal sets have been merged before, so copies make no pairs.
 
 Cases: rows of a null id are in no class and are kept; rows of one id are one
@@ -64,7 +64,7 @@ class Plan:
     bands: int = 24
     rows: int = 5
     counted: bool = False
-    centres: tuple[int, ...] = (1, 16)
+    rounds: int = 2
 
     @property
     def k(self) -> int:
@@ -235,18 +235,22 @@ def buckets(sets: DataFrame) -> DataFrame:
     return checkpointed(rows.select("key", "id").join(met, "id"))
 
 
-def candidates(rows: DataFrame, labels: DataFrame | None, centres: int) -> DataFrame:
-    """Distinct pairs (a < b) of ids that share a key.  A key's ids are dealt
-    into ``centres`` lots; the id that meets most others in its lot is a
-    centre, and every id is paired with each of its keys' centres.  With
-    ``labels``, only ids of different labels are."""
+def candidates(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Distinct pairs (a < b) of ids that share a key: every id with its keys'
+    centre, the id that meets most others.  With ``labels``, only ids of
+    different labels are paired, in keys that hold several; a key's ids are
+    dealt into lots, of which each has a centre: 16 lots in a key of up to 16
+    ids, fewer in a larger one, 2 at least, so a key of n ids makes at most
+    256 or 2 n pairs."""
     if labels is None:
-        rows = rows.withColumn("label", F.col("id"))
+        rows = rows.withColumn("label", F.col("id")).withColumn("lots", F.lit(1))
     else:
-        rows = (rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")))
-        split = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h")
-        rows = checkpointed(rows.join(split.select("key"), "key"))
-    lot = F.pmod(F.xxhash64("id", "key"), F.lit(centres))
+        rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        split = (rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"),
+                                         F.count(F.lit(1)).alias("n")).where("l <> h"))
+        lots = F.greatest(F.lit(2), F.least(F.lit(16), F.floor(F.lit(256) / F.col("n"))))
+        rows = checkpointed(rows.join(split.select("key", lots.cast("int").alias("lots")), "key"))
+    lot = F.pmod(F.xxhash64("id", "key"), F.col("lots"))
     best = F.max_by(F.struct("id", "label"), F.struct("met", F.xxhash64("id")))
     hubs = (rows.groupBy("key", lot.alias("lot")).agg(best.alias("c"))
             .select("key", F.col("c.id").alias("centre"), F.col("c.label").alias("centre_label")))
@@ -310,8 +314,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", plan
              .where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
     links = again.join(sets.select(F.col("id").alias("b")), "b").select("a", "b")
     labels = None
-    for centres in plan.centres:
-        links = checkpointed(links.union(confirmed(candidates(rows_of_keys, labels, centres), sizes, packed, plan)))
+    for _ in range(plan.rounds):
+        links = checkpointed(links.union(confirmed(candidates(rows_of_keys, labels), sizes, packed, plan)))
         labels = components(links)
     classes = (sets.select("same", "id").join(labels, "id", "left")
                .select("same", F.coalesce("label", "id").alias("class_id")))
