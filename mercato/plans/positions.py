@@ -34,10 +34,18 @@ def with_bucket(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataF
     cuts = sample.select(F.transform(
         F.sequence(F.lit(1), F.lit(buckets - 1)),
         lambda i: F.get("_s", F.floor(i * F.size("_s") / buckets).cast("int"))).alias("_c"))
-    key = F.struct(*keys)
-    below = F.size(F.filter("_cuts", lambda cut: cut <= key))
-    cuts = cuts.select(F.array_distinct("_c")).scalar()
-    return df.withColumn("_cuts", cuts).withColumn(_B, below).drop("_cuts")
+    cuts = cuts.select(F.array_distinct("_c").alias("_c"))
+    # every 16th cut, and the cuts: a search in two steps
+    steps = F.filter("_c", lambda cut, i: i % 16 == 15)
+    found = cuts.select(F.struct(steps.alias("steps"), F.col("_c").alias("cuts"))).scalar()
+
+    def below(key: Column) -> Column:
+        step = F.size(F.filter("_f.steps", lambda cut: cut <= key)) * 16
+        return step + F.size(F.filter(F.slice("_f.cuts", step + 1, 16), lambda cut: cut <= key))
+
+    # the key is bound once, not made anew for each comparison
+    bucket = F.transform(F.array(F.struct(*keys)), below)
+    return df.withColumn("_f", found).withColumn(_B, bucket[0]).drop("_f")
 
 
 def _positions(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
