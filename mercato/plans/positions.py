@@ -26,10 +26,12 @@ def _ascending(keys: list[str]) -> list[Column]:
     return [F.col(k).asc_nulls_first() for k in keys]
 
 
-def with_bucket(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+def with_bucket(df: DataFrame, keys: list[str], buckets: int = BUCKETS,
+                sample_of: DataFrame | None = None) -> DataFrame:
     """``df`` plus an int ``_bucket`` below ``buckets`` that does not fall
-    along the ascending order of ``keys`` (NULLs first)."""
-    sample = (df.select(F.struct(*keys).alias("_k")).orderBy(F.xxhash64("_k")).limit(SAMPLE)
+    along the ascending order of ``keys`` (NULLs first).  ``sample_of``: rows
+    with about the same keys that are cheaper to compute."""
+    sample = ((df if sample_of is None else sample_of).select(F.struct(*keys).alias("_k")).orderBy(F.xxhash64("_k")).limit(SAMPLE)
               .agg(F.sort_array(F.collect_list("_k")).alias("_s")))
     cuts = sample.select(F.transform(
         F.sequence(F.lit(1), F.lit(buckets - 1)),
@@ -127,7 +129,7 @@ def group_dense_rank(df: DataFrame, group_cols: list[str], value: str, name: str
 
 
 def lag_by_position(df: DataFrame, group_cols: list[str], keys: list[str],
-                    value: str, name: str) -> DataFrame:
+                    value: str, name: str, sample_of: DataFrame | None = None) -> DataFrame:
     """``df`` plus ``name`` = LAG(value) OVER (PARTITION BY group ORDER BY
     keys), ascending, NULLs first.
 
@@ -136,7 +138,7 @@ def lag_by_position(df: DataFrame, group_cols: list[str], keys: list[str],
     the same.
     """
     order = [*group_cols, *keys]
-    rows = with_bucket(df, order)
+    rows = with_bucket(df, order, sample_of=sample_of)
     row = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group_cols)],
                    F.col(value).alias("v"))
     lasts = rows.groupBy(_B).agg(F.max_by(row, F.struct(*order)).alias("_last"))

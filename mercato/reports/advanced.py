@@ -117,8 +117,10 @@ def order_value_change(t: Tables) -> DataFrame:
               .join(t.customers.select("customer_id", PERSON), "customer_id")
               .groupBy(PERSON, "order_id", PURCHASE)
               .agg(F.sum("order_total").alias("order_value")))
+    # the cut points need no payments
+    orders = t.orders.join(t.customers.select("customer_id", PERSON), "customer_id")
     lagged = lag_by_position(values, [PERSON], [PURCHASE, "order_id"],
-                             "order_value", "prev_order_value")
+                             "order_value", "prev_order_value", sample_of=orders)
     kept = lagged.filter(F.col("prev_order_value").isNotNull())
     return kept.select(PERSON, "order_id", PURCHASE,
                        as_double("order_value").alias("order_value"),
