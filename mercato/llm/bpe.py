@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from mercato.llm._arrow import (PIECE_BYTES, append_columns, binary_array, doc_rank,
+from mercato.llm._arrow import (PIECE_BYTES, append_columns, binary_array,
                                 list_array, slices, text_view)
 from mercato.llm._words import mix
 

@@ -10,7 +10,7 @@ from mercato.llm import langid
 from mercato.llm.bpe import LETTER, character_classes
 from mercato.llm.queries import op6_langid
 
-from .helpers import EDGE_ROWS, SF, documents, edge, empty
+from .helpers import EDGE_ROWS, documents, edge, empty
 
 
 @pytest.fixture(scope="module")
