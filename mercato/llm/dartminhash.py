@@ -18,7 +18,11 @@ its copies), and the pairs are checked exactly on their sets.  Classes are the
 connected components of the confirmed links; labels spread over joins, with
 checkpoints.  Where a key still holds several classes, its texts are dealt
 into lots, and paired with the centres of all lots that are of another class:
-nearly all pairs of a small key, a linear number of a large one's.
+nearly all pairs of a small key, a linear number of a large one's.  Centres
+only merge classes early.  The texts of keys that then still hold several
+classes are finished exactly, by a prefix-filtered join on their rarest
+elements (see ``rest_pairs``), so every similar pair with a common key is
+linked, whichever texts are centres.
 Texts of equal sets have been merged before, so copies make no pairs.
 
 Cases: rows of a null id are in no class and are kept; rows of one id are one
@@ -36,7 +40,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +56,10 @@ def _offset(n: int) -> np.uint64:
 
 
 _ELEMENT_BITS = 48
+#: Parts of an element's ids, where their number is not yet known.
+_SALTS = 16
+#: Bounds are lowered by this share, so that rounding loses no pair.
+_SLACK = 1 - 1e-9
 
 
 @dataclass(frozen=True)
@@ -258,6 +266,66 @@ def candidates(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
 
 
+def postings(rows: DataFrame, labels: DataFrame, sizes: DataFrame, packed: DataFrame, plan: Plan) -> DataFrame:
+    """element, n, id, label, size, rest: for the ids of keys that hold several
+    labels, the elements by which they may be similar to ids of another label.
+    Elements that only one label has come first in every set, then the others
+    from rare to frequent (n: their ids); rest is the weight from an element
+    on to the end.  The first element that a similar pair shares has a rest of
+    at least ``similarity`` of the size in both sets."""
+    rows = rows.select("id", "key").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    split = (rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"))
+             .where("l <> h").select("key"))
+    open_ = rows.join(split, "key").select("id", "label").distinct()
+    sets = open_.join(packed, "id")
+    schema = T.StructType([sets.schema["id"], sets.schema["label"], T.StructField("element", T.LongType()),
+                           T.StructField("w", T.FloatType())])
+
+    def explode(batches):
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            for i, (e, w) in enumerate(zip(columns["elements"], columns["weights"])):
+                six = np.frombuffer(e.as_py(), np.uint8).reshape(-1, 6)
+                element = np.pad(six, ((0, 0), (0, 2))).view("<i8")[:, 0]
+                weight = np.frombuffer(w.as_py(), np.float32) if plan.counted else np.ones(len(element), np.float32)
+                at = pa.array(np.full(len(element), i))
+                yield pa.RecordBatch.from_arrays([columns["id"].take(at), columns["label"].take(at),
+                                                  pa.array(element), pa.array(weight)], names=schema.names)
+
+    elements = checkpointed(sets.select("id", "label", "elements", "weights").mapInArrow(tidy(explode), schema))
+    shared = (elements.groupBy("element").agg(F.min("label").alias("l"), F.max("label").alias("h"),
+                                              F.count(F.lit(1)).alias("n")).where("l <> h"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    found = (elements.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
+             .join(shared.select("element", "n", salts), ["element", "salt"]).drop("salt"))
+    behind = Window.partitionBy("id").orderBy("n", "element").rowsBetween(0, Window.unboundedFollowing)
+    found = found.withColumn("rest", F.sum("w").over(behind)).join(sizes, "id")
+    return checkpointed(found.where(F.col("rest") >= plan.similarity * _SLACK * F.col("size"))
+                        .select("element", "n", "id", "label", "size", "rest"))
+
+
+def rest_pairs(found: DataFrame, plan: Plan) -> DataFrame:
+    """Distinct pairs (a < b) of ids of different labels that may be similar.
+    A similar pair of sizes x <= y shares a weight of at least
+    t / (1 + t) (x + y), so the rests at its first common element are no less;
+    the smaller set's is at least 2 t / (1 + t) of its size, which a passage
+    common to sets that are not similar does not reach.  Elements of many ids
+    are salted."""
+    share = plan.similarity / (1 + plan.similarity) * _SLACK
+    salts = F.least(F.floor(F.col("n") / 512) + 1, F.lit(64)).cast("int")
+    small = (found.where(F.col("rest") >= 2 * share * F.col("size"))
+             .select("element", "id", "label", "size", "rest",
+                     F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")))
+    large = found.select("element", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"),
+                         *[F.col(c).alias(f"{c}_y") for c in ("id", "label", "size", "rest")])
+    return (small.join(large, ["element", "salt"])
+            .where((F.col("label") != F.col("label_y"))
+                   & ((F.col("size") < F.col("size_y")) | ((F.col("size") == F.col("size_y")) & (F.col("id") < F.col("id_y"))))
+                   & (F.col("size") >= plan.similarity * _SLACK * F.col("size_y"))
+                   & (F.least("rest", "rest_y") >= share * (F.col("size") + F.col("size_y"))))
+            .select(F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b")).distinct())
+
+
 def confirmed(pairs: DataFrame, sizes: DataFrame, packed: DataFrame, plan: Plan) -> DataFrame:
     """The pairs whose sets are as similar as the plan asks; ``sizes``: id,
     size; ``packed``: id, elements, weights."""
@@ -317,6 +385,10 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", plan
     for _ in range(plan.rounds):
         links = checkpointed(links.union(confirmed(candidates(rows_of_keys, labels), sizes, packed, plan)))
         labels = components(links)
+    if labels is not None:
+        rest = rest_pairs(postings(rows_of_keys, labels, sizes, packed, plan), plan)
+        more = checkpointed(confirmed(rest, sizes, packed, plan))
+        labels = components(links.union(more))
     classes = (sets.select("same", "id").join(labels, "id", "left")
                .select("same", F.coalesce("label", "id").alias("class_id")))
     found = rows.select("id", "same").join(classes, "same", "left").select(

@@ -84,6 +84,20 @@ def test_near_copies_and_a_chain(spark):
     assert got == brute_classes(texts)
 
 
+def test_a_family_over_one_passage(spark):
+    """Pairs that are similar, among 1,200 texts that nearly are: all share a
+    passage, and their common keys are those of the whole family."""
+    passage = " ".join(f"p{i}" for i in range(194))
+    texts = {}
+    for i in range(1200):
+        pair = " ".join(f"pair{i // 2}x{k}" for k in range(9))
+        texts[i] = f"{passage} {pair} " + " ".join(f"own{i}x{k}" for k in range(24))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    expected = brute_classes(texts)
+    assert len(set(expected.values())) == 600
+    assert {r.doc_id: r.class_id for r in dm.near_duplicates(df).collect()} == expected
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 200)], "a long, b long")
     assert {r.id: r.label for r in dm.components(links).collect()} == {**{i: 1 for i in range(1, 61)}, 100: 100, 200: 100}
