@@ -6,8 +6,9 @@ under ``sf_dir``; everything else from ``docs``.  All stages but the last
 return the columns of the documents.
 
 Defined cases, besides those of the operators: a document whose id is null
-passes the filters by its text alone and is never a near-duplicate; a mix
-cannot refer to it, so it ends there.  Rows of one id are one document.
+passes the filters by its text alone, is never a near-duplicate, and is mixed
+as any other.  Rows of one id are one document, of which near_dedup keeps the
+row of the smallest hash.
 """
 
 from __future__ import annotations
@@ -44,17 +45,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class."""
-    judged = dartminhash.near_duplicates(docs)
-    out = checkpointed(judged.where("NOT kept").select(F.col("doc_id").alias("__out")).distinct())
-    return docs.join(out, column(docs, "doc_id") == F.col("__out"), "left_anti").select(
-        *[column(docs, c) for c in docs.columns])
+    """Keeps one document of each near-duplicate class, and one row of it."""
+    judged = dartminhash.near_duplicates(docs).where("doc_id IS NOT NULL")
+    marks = checkpointed(judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+                         .where("n > 1 OR NOT kept").select(F.col("doc_id").alias("__id"), "kept"))
+    same = column(docs, "doc_id") == F.col("__id")
+    names = [column(docs, c) for c in docs.columns]
+    once = docs.join(marks, same, "left_anti").select(*names)
+    again = docs.join(marks.where("kept"), same, "left_semi").select(*names)
+    row = F.struct(*[column(again, c) for c in docs.columns])
+    first = (again.groupBy(column(again, "doc_id").alias("__id"))
+             .agg(F.min_by(row, F.xxhash64(row)).alias("__row")).select("__row.*"))
+    return once.unionByName(first)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents to meet the sources' targets, in the
     order of training."""
-    return curriculum.mix(docs)
+    return curriculum.mix(docs, nulls=True)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

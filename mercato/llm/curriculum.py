@@ -32,9 +32,10 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mercato.llm._arrow import column, word_count
-from mercato.llm._store import checkpointed
+from mercato.llm._store import checkpointed, new_path
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -81,12 +82,19 @@ def targets(sources: DataFrame) -> DataFrame:
             .select("source", "source_size", "turn", "target"))
 
 
-def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+         row: str | None = None) -> DataFrame:
     """key, source, size, source_size, target, taken, copies, positions (one
-    for each copy, ascending), sorted by the first position."""
+    for each copy, ascending), sorted by the first position.  With ``row``, a
+    column that numbers the rows, that column too; rows of a null id are then
+    ordered by the hash of their text."""
+    h = F.xxhash64(column(docs, key), F.lit(SEED))
+    if row:
+        h = F.when(column(docs, key).isNull(), F.xxhash64(column(docs, text), F.lit(SEED))).otherwise(h)
+    number = [column(docs, row).alias("__row")] if row else []
     sized = docs.select(column(docs, key).alias("id"), column(docs, source).cast("string").alias("source"),
-                        word_count(column(docs, text)).alias("size"))
-    sized = checkpointed(sized.withColumn("h", F.xxhash64("id", F.lit(SEED))))
+                        word_count(column(docs, text)).alias("size"), h.alias("h"), *number)
+    sized = checkpointed(sized)
     buckets = max(1, ceil(sized.count() ** 0.5))
     # a source's name that is never null, so that joins and windows agree
     name = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
@@ -98,7 +106,8 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     along = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = (sums.withColumn("begin", F.coalesce(F.sum("n").over(along), F.lit(0)))
               .select("name", "bucket", "begin").join(sources, "name"))
-    inside = Window.partitionBy("name", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = ["h", "id", "size", *(["__row"] if row else [])]
+    inside = Window.partitionBy("name", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(begins, ["name", "bucket"]).withColumn(
         "middle", F.col("begin") + F.sum("size").over(inside) - F.col("size") / 2)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -116,17 +125,24 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         at = times if k == len(WEIGHTS) - 1 else F.when(F.col("turn") == k, times).otherwise(at)
     found = placed.withColumn("positions", at).select(
         F.col("id").alias(key), "source", "size", "source_size", "target",
-        (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "positions")
+        (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "positions",
+        *([F.col("__row").alias(row)] if row else []))
     first = F.get("positions", F.lit(0))
     return found.repartitionByRange(first, F.col(key)).sortWithinPartitions(first, key)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+        nulls: bool = False) -> DataFrame:
     """The rows of ``docs``, as often as they are taken, range-sorted by
-    position.  Rows of a null key, to which no plan can be joined, stay out."""
-    copies = (plan(docs, key, text, source).where("copies > 0")
-              .select(F.col(key).alias("__id"), F.explode("positions").alias("__position")))
-    # rows of one id have equal plans or are one document: each copy once
-    joined = docs.join(copies, column(docs, key) == F.col("__id"))
-    return (joined.repartitionByRange("__position", "__id").sortWithinPartitions("__position", "__id")
-            .select(*[column(docs, c) for c in docs.columns]))
+    position.  Rows of a null key take part with ``nulls``; else they stay out
+    and count for nothing.  The rows are numbered and stored first, so that
+    copies meet their own row, whatever ids are repeated."""
+    path = new_path(docs.sparkSession, "mix")
+    some = docs if nulls else docs.where(column(docs, key).isNotNull())
+    some.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = docs.sparkSession.read.schema(T.StructType([*docs.schema, T.StructField("__row", T.LongType())])).parquet(path)
+    copies = (plan(rows, key, text, source, "__row").where("copies > 0")
+              .select(F.col("__row").alias("__of"), F.explode("positions").alias("__position")))
+    joined = rows.join(copies, F.col("__row") == F.col("__of"))
+    return (joined.repartitionByRange("__position", "__row").sortWithinPartitions("__position", "__row")
+            .select(*[column(rows, c) for c in docs.columns]))

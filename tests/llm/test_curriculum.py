@@ -1,6 +1,6 @@
 """Curriculum mixing against brute force."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +118,13 @@ def test_edge_cases(spark):
     assert mixed.columns == edge(spark).columns
     assert mixed.where("doc_id IS NULL").count() == 0
     assert curriculum.plan(empty(spark)).count() == 0 and curriculum.mix(empty(spark)).count() == 0
+
+
+def test_rows_of_repeated_and_null_ids_are_copied_by_themselves(spark):
+    rows = [(i, f"a{i} b c d", "s") for i in range(20)]
+    rows += [(100, "one two three four", "s")] * 5 + [(None, f"null {i} x y", "s") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = Counter(r.doc_id for r in curriculum.mix(docs, nulls=True).collect())
+    # one source, whose target is its size: each row once
+    assert found == Counter(r[0] for r in rows)
+    assert Counter(r.doc_id for r in curriculum.mix(docs).collect()) == Counter(r[0] for r in rows if r[0] is not None)

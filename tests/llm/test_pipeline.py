@@ -1,5 +1,7 @@
 """The pipeline's stages and its run."""
 
+from collections import Counter
+
 import public_tokenizers
 import tiktoken
 
@@ -54,3 +56,13 @@ def test_every_stage_takes_edge_cases_and_an_empty_table(spark):
             assert set(docs.columns) <= set(out.columns)
             rows = out.collect()
             assert len(rows) <= 3 * docs.count()
+
+
+def test_near_dedup_and_mixing_count_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d e f", "s")] * 4 + [(2, "g h i j k l", "s"), (3, "m n o p q r", "s"), (3, "s t u v w x", "s")]
+    rows += [(None, "a b c d e f", "s")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    once = corpus_pipeline.near_dedup(spark, docs, SF)
+    expected = {1: 1, 2: 1, 3: 1, None: 2}
+    assert Counter(r.doc_id for r in once.collect()) == expected
+    assert Counter(r.doc_id for r in corpus_pipeline.mixing(spark, once, SF).collect()) == expected
