@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from mercato.llm import bpe, curriculum, dartminhash, langid, ordinal
 from mercato.llm._arrow import column
-from mercato.llm._store import checkpointed
+from mercato.llm._store import checkpointed, new_path
 from mercato.llm.queries import (GRADES, LEAST_P, VOCABULARY, learned_profiles, quality_model, table)
 
 #: A text less in place than this in its best language has none.
@@ -81,8 +81,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written and read again."""
+    """The stages one after the other, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        out, path = stage(spark, docs, sf_dir), new_path(spark, "stage")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

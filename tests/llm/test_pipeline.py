@@ -66,3 +66,17 @@ def test_near_dedup_and_mixing_count_repeated_and_null_ids(spark):
     expected = {1: 1, 2: 1, 3: 1, None: 2}
     assert Counter(r.doc_id for r in once.collect()) == expected
     assert Counter(r.doc_id for r in corpus_pipeline.mixing(spark, once, SF).collect()) == expected
+
+
+def test_run_passes_stages_on_as_parquet(spark, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs.inputFiles())
+        return docs.where("doc_id % 2 = 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    n = corpus_pipeline.run(spark, SF).count()
+    assert n == documents(spark).where("doc_id % 2 = 0").count()
+    assert all(f.endswith(".parquet") for files in seen for f in files) and all(seen)
+    assert not set(seen[0]) & set(seen[1]) and not set(seen[1]) & set(seen[2])
