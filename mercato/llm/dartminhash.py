@@ -292,13 +292,15 @@ def postings(rows: DataFrame, labels: DataFrame, sizes: DataFrame, packed: DataF
                 yield pa.RecordBatch.from_arrays([columns["id"].take(at), columns["label"].take(at),
                                                   pa.array(element), pa.array(weight)], names=schema.names)
 
-    elements = checkpointed(sets.select("id", "label", "elements", "weights").mapInArrow(tidy(explode), schema))
+    # read twice, which costs less than to store an element a row
+    sets = checkpointed(sets.select("id", "label", "elements", "weights"))
+    elements = sets.mapInArrow(tidy(explode), schema)
     shared = (elements.groupBy("element").agg(F.min("label").alias("l"), F.max("label").alias("h"),
                                               F.count(F.lit(1)).alias("n")).where("l <> h"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
     found = (elements.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
              .join(shared.select("element", "n", salts), ["element", "salt"]).drop("salt"))
-    behind = Window.partitionBy("id").orderBy("n", "element").rowsBetween(0, Window.unboundedFollowing)
+    behind = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("element")).rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("rest", F.sum("w").over(behind)).join(sizes, "id")
     return checkpointed(found.where(F.col("rest") >= plan.similarity * _SLACK * F.col("size"))
                         .select("element", "n", "id", "label", "size", "rest"))
