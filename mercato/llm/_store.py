@@ -30,3 +30,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the checkpoint folder at which nothing is stored yet."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
+
+
+class Stored:
+    """``df`` written as Parquet to the checkpoint folder: ``rows`` reads it,
+    with no lineage before it; ``drop`` deletes the files, once nothing that
+    reads them is to run any more."""
+
+    def __init__(self, df: DataFrame, name: str = "rows"):
+        self._spark = df.sparkSession
+        self._path = new_path(self._spark, name)
+        df.write.parquet(self._path)
+        self.rows = self._spark.read.schema(df.schema).parquet(self._path)
+
+    def drop(self) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import backoff, bpe, curriculum, dartminhash, decisions, langid, ordinal, spotsigs, urlrules, warc
+from mercato.llm import (backoff, bpe, curriculum, dartminhash, decisions, langid, nsbounds, ordinal, spotsigs, urlrules,
+                         warc)
 from mercato.llm._store import new_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -116,6 +117,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
+def op11_nsbounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector after ten rounds of exact k-means."""
+    return nsbounds.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_dartminhash": op2_dartminhash,
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urlrules": op8_urlrules,
     "op9_ordinal": op9_ordinal,
     "op10_warc": op10_warc,
+    "op11_nsbounds": op11_nsbounds,
 }
 
 #: DuckDB statements for the queries that SQL can express.
@@ -204,3 +211,41 @@ ORACLE_SQL: dict[str, str] = {"op8_urlrules": r"""
            round(log_score / len(list), 4) AS score
     FROM words LEFT JOIN sums USING (doc_id)
 """}
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """K-means round by round, each a relation of its own."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (
+        SELECT r, v, vec_id, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+            SELECT r, v, vec_id, j, CAST(list_sum(list_transform(list_zip(v, c),
+                   lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM vectors, c{t})
+        GROUP BY ALL)""")
+        if t < rounds:
+            steps.append(f"""s{t} AS (
+        SELECT j, i, sum(x) AS s, count(*) AS n
+        FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{t}) GROUP BY j, i
+    ), n{t} AS (
+        SELECT j, list(CAST(CASE WHEN s < 0 AND s % n <> 0 THEN s // n - 1 ELSE s // n END AS BIGINT) ORDER BY i) AS c
+        FROM s{t} GROUP BY j
+    ), c{t + 1} AS MATERIALIZED (
+        SELECT j, coalesce(n{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN n{t} USING (j))""")
+    return f"""
+    WITH vectors AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id,
+               list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    ), c0 AS MATERIALIZED (
+        SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS j, v AS c
+        FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM vectors ORDER BY h NULLS LAST, v LIMIT 8)
+    ), {', '.join(steps)}
+    SELECT vec_id, a.j AS cluster, d AS distance,
+           CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+           CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN c{rounds} USING (j)
+"""
+
+
+ORACLE_SQL["op11_nsbounds"] = _kmeans_sql(10)
