@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import (backoff, bpe, curriculum, dartminhash, decisions, langid, nsbounds, ordinal, spotsigs, urlrules,
-                         warc)
+from mercato.llm import (backoff, bpe, curriculum, dartminhash, decisions, langid, ngramjoin, nsbounds, ordinal,
+                         spotsigs, urlrules, warc)
 from mercato.llm._store import new_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -122,6 +122,11 @@ def op11_nsbounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nsbounds.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document by links of its three-word runs."""
+    return ngramjoin.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_dartminhash": op2_dartminhash,
@@ -134,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ordinal": op9_ordinal,
     "op10_warc": op10_warc,
     "op11_nsbounds": op11_nsbounds,
+    "op13_ngramjoin": op13_ngramjoin,
 }
 
 #: DuckDB statements for the queries that SQL can express.
