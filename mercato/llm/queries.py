@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm import (backoff, bpe, curriculum, dartminhash, decisions, langid, ngramjoin, nsbounds, ordinal,
-                         spotsigs, urlrules, warc)
+                         phrases, spotsigs, urlrules, warc)
 from mercato.llm._store import new_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -122,6 +122,11 @@ def op11_nsbounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nsbounds.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return phrases.mine(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op13_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document by links of its three-word runs."""
     return ngramjoin.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -139,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ordinal": op9_ordinal,
     "op10_warc": op10_warc,
     "op11_nsbounds": op11_nsbounds,
+    "op12_phrases": op12_phrases,
     "op13_ngramjoin": op13_ngramjoin,
 }
 
@@ -255,3 +261,42 @@ def _kmeans_sql(rounds: int) -> str:
 
 
 ORACLE_SQL["op11_nsbounds"] = _kmeans_sql(10)
+
+
+def phrases_sql(least: int, top: int) -> str:
+    return rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text,
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), lists AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+    ), totals AS (
+        SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM lists GROUP BY lang
+    ), grams AS (
+        SELECT lang, k, unnest(list_transform(range(1, CAST(len(words) - k + 2 AS BIGINT)),
+                                              lambda i: words[i:i + k - 1])) AS words
+        FROM lists, range(1, 6) AS t(k) WHERE len(words) >= k
+    ), frequent AS (
+        SELECT lang, k, words, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {least}
+    ), longer AS (
+        SELECT DISTINCT lang, a, words[b:b + w - 1] AS words
+        FROM frequent, range(2, 5) AS t(w), range(1, 5) AS u(b) WHERE k > w AND b + w - 1 <= k
+    ), cuts AS (
+        SELECT f.lang, f.words, f.a, f.k, c, l.a AS l, r.a AS r, n,
+               CAST((CAST(1000 AS HUGEINT) * f.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+        FROM (SELECT * FROM frequent ANTI JOIN longer USING (lang, a, words)) f JOIN range(1, 5) AS t(c) ON c < k
+        JOIN frequent l ON l.lang = f.lang AND l.words = f.words[:c]
+        JOIN frequent r ON r.lang = f.lang AND r.words = f.words[c + 1:]
+        JOIN totals ON totals.lang = f.lang
+    ), lowest AS (
+        SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, c) = 1
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang
+                                    ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank,
+           array_to_string(words, ' ') AS phrase, a, l, r, n, score
+    FROM lowest QUALIFY rank <= {top}
+"""
+
+
+ORACLE_SQL["op12_phrases"] = phrases_sql(100, 2000)
