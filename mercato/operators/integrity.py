@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.plans.dimension import dimension_join
+from mercato.plans.skew import skew_join
 from mercato.sources import schemas
 from mercato.sources.model import Tables
 
@@ -27,13 +27,14 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str,
             parent_key: str | None = None) -> DataFrame:
     """Child rows whose non-NULL key has no parent row (a NULL key is allowed).
 
-    Only distinct keys meet the parent's; the rows of the missing ones are
-    fetched by a salted join, since one missing key may have very many."""
+    Only distinct keys meet the parent's.  The missing ones may be as many as
+    the keys (a parent table that is absent), and one may have very many rows:
+    they meet the child by a join that deals out hot keys and copies no other."""
     parent_key = parent_key or child_key
     parents = parent.select(F.col(parent_key).alias("_parent_key"))
     missing = (child.filter(F.col(child_key).isNotNull()).select(child_key).distinct()
                .join(parents, F.col(child_key) == F.col("_parent_key"), "left_anti"))
-    return dimension_join(child, missing, [child_key], child.columns)
+    return skew_join(child, missing, child_key, child.columns)
 
 
 def _orphan_counts(table: str, child: DataFrame, keys: list[tuple[str, DataFrame, str]]) -> DataFrame:

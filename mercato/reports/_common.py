@@ -17,6 +17,7 @@ from mercato.operators.ranking import (dense_rank_at_most, group_dense_rank,  #
                                        lag_by_position, latest_per_key, scalable_ntile, top_n)
 from mercato.plans import facts  # noqa: F401
 from mercato.plans.dimension import dimension_join  # noqa: F401
+from mercato.plans.skew import skew_join  # noqa: F401
 from mercato.sources.model import Tables  # noqa: F401
 
 # These must equal the report definitions for right results.

@@ -116,10 +116,12 @@ def aov_by_state(t: Tables) -> DataFrame:
 
 def avg_category_revenue_per_order(t: Tables) -> DataFrame:
     """Q32: price sum per (raw category, order), then its mean per English
-    category (aggregated before the translation join, as written)."""
+    category (aggregated before the translation join, as written).  A product
+    has a row for each of its orders when it meets its category: a best-seller
+    is dealt out."""
     per_product = t.items.groupBy("product_id", "order_id").agg(F.sum("price").alias("price"))
-    cat_orders = (per_product
-                  .join(t.products.select("product_id", "product_category_name"), "product_id")
+    cat_orders = (skew_join(per_product, t.products.select("product_id", "product_category_name"),
+                            "product_id", ["order_id"], weights=t.items)
                   .groupBy("product_category_name", "order_id")
                   .agg(F.sum("price").alias("cat_revenue")))
     per_cat = (cat_orders.groupBy("product_category_name")
