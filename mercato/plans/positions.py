@@ -6,18 +6,26 @@ window partitioned by a hot key moves that key's rows to one task.  Here rows
 get a bucket by cut points over the whole sort key (which ends with a unique
 column, so equal values are cut too), windows run within a bucket, and what
 must be known of the other buckets (a count, a last row) is one row a bucket.
-The cut points come from the ``SAMPLE`` rows of the smallest key hashes, as a
-scalar subquery of the same plan: no job runs before the action, and nothing
-is checkpointed.  The sample only decides how even the buckets are.
+
+There are four buckets a shuffle partition, so a bucket's size follows the
+cluster's setting, not the input.  The cut points come from a summary of the
+sort keys: the rows whose hash is below a share of the hash range, chosen so
+that about ``SAMPLE`` a bucket are left of all rows together; every task picks
+its own, and one task sorts the keys of these few.  The sample only decides how
+even the buckets are.  All is one plan: no job runs before the action, nothing is
+checkpointed, and the count, the summary and the rows read the input's last
+shuffle from one exchange (``pinned``), so the input is computed once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the tables of one row a bucket, and of the sample.
-BUCKETS, SAMPLE = 256, 4096
+#: Least number of buckets, and sampled rows for each bucket.
+BUCKETS, SAMPLE = 256, 16
+#: Buckets for each shuffle partition.
+PER_PARTITION = 4
 POS = "_pos"
 _B = "_bucket"
 
@@ -26,28 +34,39 @@ def _ascending(keys: list[str]) -> list[Column]:
     return [F.col(k).asc_nulls_first() for k in keys]
 
 
-def with_bucket(df: DataFrame, keys: list[str], buckets: int = BUCKETS,
-                sample_of: DataFrame | None = None) -> DataFrame:
-    """``df`` plus an int ``_bucket`` below ``buckets`` that does not fall
-    along the ascending order of ``keys`` (NULLs first).  ``sample_of``: rows
-    with about the same keys that are cheaper to compute."""
-    sample = ((df if sample_of is None else sample_of).select(F.struct(*keys).alias("_k")).orderBy(F.xxhash64("_k")).limit(SAMPLE)
-              .agg(F.sort_array(F.collect_list("_k")).alias("_s")))
-    cuts = sample.select(F.transform(
-        F.sequence(F.lit(1), F.lit(buckets - 1)),
-        lambda i: F.get("_s", F.floor(i * F.size("_s") / buckets).cast("int"))).alias("_c"))
-    cuts = cuts.select(F.array_distinct("_c").alias("_c"))
-    # every 16th cut, and the cuts: a search in two steps
-    steps = F.filter("_c", lambda cut, i: i % 16 == 15)
-    found = cuts.select(F.struct(steps.alias("steps"), F.col("_c").alias("cuts"))).scalar()
+def bucket_count(spark: SparkSession) -> int:
+    return max(BUCKETS, PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` with a filter that needs every column and drops no row.  Branches
+    that use different columns of ``df`` then plan the same shuffles below it,
+    which Spark runs once and reuses."""
+    return df.where(F.bit_count(F.xxhash64(*df.columns)) >= 0)
+
+
+def with_bucket(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """``df`` (``pinned``) plus an int ``_bucket`` below ``buckets`` that does
+    not fall along the ascending order of ``keys`` (NULLs first)."""
+    buckets = buckets or bucket_count(df.sparkSession)
+    df = pinned(df)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    share = F.xxhash64(*df.columns).cast("double") / 2.0 ** 64 + 0.5
+    cuts = (df.where(share * total <= buckets * SAMPLE).agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("_s"))
+            .select(F.array_distinct(F.transform(
+                F.sequence(F.lit(1), F.lit(buckets - 1)),
+                lambda i: F.get("_s", F.floor(i * F.size("_s") / buckets).cast("int")))).alias("_c")))
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
 
     def below(key: Column) -> Column:
-        step = F.size(F.filter("_f.steps", lambda cut: cut <= key)) * 16
-        return step + F.size(F.filter(F.slice("_f.cuts", step + 1, 16), lambda cut: cut <= key))
+        """How many cuts are not above ``key``, by bisection."""
+        return F.aggregate(halves, F.lit(0), lambda at, step: F.when(
+            F.get("_f", at + step - 1) <= key, at + step).otherwise(at))
 
     # the key is bound once, not made anew for each comparison
     bucket = F.transform(F.array(F.struct(*keys)), below)
-    return df.withColumn("_f", found).withColumn(_B, bucket[0]).drop("_f")
+    # never null, so no filter on it reaches below the last shuffle of one branch
+    return df.withColumn("_f", cuts.scalar()).withColumn(_B, F.coalesce(bucket[0], F.lit(0))).drop("_f")
 
 
 def _positions(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +78,7 @@ def _positions(df: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, Da
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy(_B).orderBy(*_ascending(keys)))
     positioned = (rows.withColumn(name, inside.cast("bigint"))
-                  .join(F.broadcast(offsets), F.col(_B) == F.col("_b"))  # at most BUCKETS rows
+                  .join(F.broadcast(offsets), F.col(_B) == F.col("_b"))  # one row a bucket
                   .withColumn(name, F.col("_offset") + F.col(name))
                   .drop(_B, "_b", "_offset"))
     return positioned, counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
@@ -111,7 +130,7 @@ def group_dense_rank(df: DataFrame, group_cols: list[str], value: str, name: str
     v = F.struct(value)  # a NULL is a value
     parts = rows.groupBy(_B, *group_cols).agg(
         F.count_distinct(v).alias("_n"), F.min(v).alias("_low"), F.max(v).alias("_high"))
-    down = Window.partitionBy(*group_cols).orderBy(F.desc(_B))  # at most BUCKETS rows a group
+    down = Window.partitionBy(*group_cols).orderBy(F.desc(_B))  # one row a bucket, and a group's are less
     shared = F.coalesce(F.lag("_low").over(down) == F.col("_high"), F.lit(False)).cast("int")
     parts = parts.withColumn("_shared", shared)
     above = F.coalesce(F.sum("_n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -129,7 +148,7 @@ def group_dense_rank(df: DataFrame, group_cols: list[str], value: str, name: str
 
 
 def lag_by_position(df: DataFrame, group_cols: list[str], keys: list[str],
-                    value: str, name: str, sample_of: DataFrame | None = None) -> DataFrame:
+                    value: str, name: str) -> DataFrame:
     """``df`` plus ``name`` = LAG(value) OVER (PARTITION BY group ORDER BY
     keys), ascending, NULLs first.
 
@@ -138,7 +157,7 @@ def lag_by_position(df: DataFrame, group_cols: list[str], keys: list[str],
     the same.
     """
     order = [*group_cols, *keys]
-    rows = with_bucket(df, order, sample_of=sample_of)
+    rows = with_bucket(df, order)
     row = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group_cols)],
                    F.col(value).alias("v"))
     lasts = rows.groupBy(_B).agg(F.max_by(row, F.struct(*order)).alias("_last"))
@@ -146,7 +165,7 @@ def lag_by_position(df: DataFrame, group_cols: list[str], keys: list[str],
                          F.lag("_last").over(Window.orderBy(_B)).alias("_before"))
     previous = F.lag(row).over(Window.partitionBy(_B).orderBy(*_ascending(order)))
     joined = (rows.withColumn("_previous", previous)
-              .join(F.broadcast(lasts), F.col(_B) == F.col("_b"))  # at most BUCKETS rows
+              .join(F.broadcast(lasts), F.col(_B) == F.col("_b"))  # one row a bucket
               .withColumn("_previous", F.coalesce("_previous", "_before")))
     same = F.lit(True)
     for i, g in enumerate(group_cols):

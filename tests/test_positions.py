@@ -10,6 +10,7 @@ from mercato.operators.ranking import dense_rank_at_most
 from mercato.plans.dimension import dimension_join
 from mercato.plans.positions import (global_positions, group_dense_rank, lag_by_position,
                                      ntile_of_position, scalable_ntile, with_bucket)
+from mercato.plans.skew import skew_join
 
 
 def _values(n, seed, hot=None):
@@ -115,3 +116,69 @@ def test_dimension_join_is_an_inner_join(spark, threshold):
         assert sorted(got.select("id", "g", "v", "w").collect(), key=str) == sorted(ref.collect(), key=str)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_buckets_follow_the_shuffle_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(30_000).select(F.lit("a").alias("g"), F.lit(7).alias("v"), "id")
+        rows = with_bucket(df, ["g", "v", "id"])
+        sizes = {r._bucket: r["count"] for r in rows.groupBy("_bucket").count().collect()}
+        assert len(sizes) > 700 and max(sizes) < 800 and max(sizes.values()) < 150
+        # along the order of the keys
+        ends = rows.groupBy("_bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).orderBy("_bucket").collect()
+        assert all(x.z < y.a for x, y in zip(ends, ends[1:]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("make", [
+    lambda df: scalable_ntile(df, ["total", "g"], 4, "tile"),
+    lambda df: group_dense_rank(df, ["g"], "total", "r", ["h"]),
+    lambda df: lag_by_position(df, ["g"], ["h"], "total", "prev"),
+])
+def test_the_input_of_bucketed_windows_is_computed_once(spark, make):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        path = "/root/testdata/sf0.001/lineitem.parquet"
+        df = spark.read.parquet(path).groupBy(F.col("l_suppkey").alias("g"), F.col("l_linenumber").alias("h")).agg(
+            F.sum("l_quantity").alias("total"), F.max("l_tax").alias("other"))
+        plan = make(df)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("null_rows", [0, 50])
+def test_skew_join_is_an_inner_join(spark, null_rows):
+    big = spark.createDataFrame(_values(900, 23, "hot"), "id long, g string, v int").repartition(3)
+    small = spark.createDataFrame([("hot", 1), ("hot", 5), ("g1", 2), ("g2", 4), (None, 3), ("gone", 9)], "g string, w int")
+    got = skew_join(big, small, "g", ["id"])
+    ref = big.join(small, "g")
+    columns = ["id", "g", "v", "w"]
+    assert got.columns == ["id", "g", "v", "w"]
+    assert sorted(got.select(columns).collect(), key=str) == sorted(ref.select(columns).collect(), key=str)
+    assert skew_join(big.limit(0), small, "g", ["id"]).count() == 0
+
+
+def test_skew_join_deals_out_a_hot_key_and_copies_no_other(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id"))
+        big = spark.range(24_000).select("id", key.alias("k"))
+        small = big.select("k").distinct().withColumn("w", F.col("k") * 2)
+        joined = skew_join(big, small, "k", ["id"])
+        assert joined.count() == 24_000 and joined.where("w <> 2 * k").isEmpty()
+        hot = [r["count"] for r in joined.where("k = -1").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(hot) >= 2 and max(hot) <= 24_000 / 8 * 2
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 3 * 24_000 / 8
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode(sequence" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
