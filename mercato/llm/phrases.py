@@ -22,8 +22,9 @@ counted as one: at 10^13 distinct phrases some of the rare ones meet a frequent
 one, and raise it by their few occurrences.)  What was proposed reaches the tasks
 as a Bloom filter of ``filter_words`` longs at most, whatever the number of
 phrases; what it lets through by mistake is counted exactly, too, and does no harm.
-The texts of the frequent phrases are fetched by a last pass, with the hashes
-of their parts, and all that follows are joins on hashes.  Scores are computed
+The texts of the frequent phrases, with the hashes of their parts, are fetched
+from the sample, and by a last pass where it lacks one; all that follows are
+joins on hashes.  Scores are computed
 in decimals of 38 digits: counts may reach 10^15.
 
 Cases: null and empty texts have no words; a null language is ``und``; rows are
@@ -56,7 +57,7 @@ ENDS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LENGTH_BITS = np.uint64(7)  # the low bits of a phrase's key: its number of words
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 #: Names that a task remembers as sent.
 _SENT = 1 << 20
 
@@ -255,6 +256,21 @@ def frequent(docs: DataFrame, sample: DataFrame, plan: Plan) -> Frequent:
     return Frequent(counts, passes)
 
 
+def _texts_of(docs: DataFrame, sample: DataFrame, counts: DataFrame, plan: Plan) -> DataFrame:
+    """h, lang, phrase, left, right of the phrases of two words or more and of
+    the languages in ``counts``."""
+    def one_each(df: DataFrame, wanted: DataFrame) -> DataFrame:
+        rows = named(df, Filter.none(plan).plus(wanted), plan)
+        return rows.groupBy("h").agg(F.min(F.struct("lang", "phrase", "left", "right")).alias("s")).select("h", "s.*")
+
+    wanted = counts.where(_length() != 1).select("h")
+    names = Stored(one_each(sample, wanted), "names").rows
+    missing = Stored(wanted.join(names, "h", "left_anti"), "names").rows
+    if missing.isEmpty():
+        return names
+    return names.union(one_each(docs, missing).join(names, "h", "left_anti"))
+
+
 def mine(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", plan: Plan = Plan()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top``
     collocations."""
@@ -262,10 +278,9 @@ def mine(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_
     chosen = F.pmod(F.xxhash64(column(df, key), column(df, text)), F.lit(plan.share)) == 0
     sample = Stored(df.where(chosen).select(column(df, text).alias("text"), column(df, lang).alias("lang")), "sample")
     counts = frequent(docs, sample.rows, plan).counts
+    found = _texts_of(docs, sample.rows, counts, plan)
     sample.drop()
-    phrases = counts.where(_length() >= 2)
-    names = Stored(named(docs, Filter.none(plan).plus(phrases), plan).groupBy("h").agg(
-        F.min(F.struct("lang", "phrase", "left", "right")).alias("s")).select("h", "s.*").join(counts, "h"), "phrases").rows
+    names = Stored(found.join(counts, "h"), "phrases").rows
     totals = names.where(_length() == 0).select(F.col("lang").alias("total_lang"), F.col("n").alias("total"))
     candidates = names.where(_length() >= 2).select("h", "lang", "phrase", "left", "right", F.col("n").alias("a"))
     # a phrase lies inside a longer one of the same count exactly if it lies
