@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.plans.dimension import SALTS, dimension_join
-from mercato.plans.positions import group_dense_rank, lag_by_position, scalable_ntile
+from mercato.plans.positions import group_dense_rank, lag_by_position, running_sum, scalable_ntile
 
 __all__ = ["top_n", "dense_rank_at_most", "latest_per_key", "scalable_ntile",
-           "group_dense_rank", "lag_by_position"]
+           "group_dense_rank", "lag_by_position", "running_sum"]
 
 
 def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -172,3 +172,23 @@ def lag_by_position(df: DataFrame, group_cols: list[str], keys: list[str],
         same = same & F.col(g).eqNullSafe(F.col(f"_previous.g{i}"))
     same = same & F.col("_previous").isNotNull()
     return joined.withColumn(name, F.when(same, F.col("_previous.v"))).select(*df.columns, name)
+
+
+def running_sum(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``df`` plus ``name`` = SUM(value) OVER (ORDER BY keys), ascending, NULLs
+    first, for any number of rows; ``keys`` should end with a unique column.
+
+    A prefix sum in two passes: buckets add up on their own, and each begins at
+    the sum of those before it.  As in SQL the sum is NULL until the first
+    value that is not."""
+    rows = with_bucket(df, keys)
+    sums = rows.groupBy(_B).agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col(_B).alias("_b"), F.sum("_sum").over(before).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(_B).orderBy(*_ascending(keys))
+                               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.when(F.col(name).isNull(), F.col("_before")).otherwise(
+        F.col(name) + F.coalesce("_before", F.lit(0)))
+    return (rows.withColumn(name, inside)
+            .join(F.broadcast(offsets), F.col(_B) == F.col("_b"))  # one row a bucket
+            .withColumn(name, total).select(*df.columns, name))
