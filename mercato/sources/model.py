@@ -6,6 +6,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mercato.sources import schemas
 
@@ -47,7 +48,8 @@ class Tables:
                          for f in fields(self)})
 
 
-_FIELD_OF = {
+#: Fields of ``Tables`` by the names the model declares.
+FIELD_OF = {
     "customers": "customers",
     "orders": "orders",
     "sellers": "sellers",
@@ -87,7 +89,7 @@ def read_marketplace(spark: SparkSession, path: str, fmt: str = "parquet",
     for name, schema in schemas.SCHEMAS.items():
         reader = spark.read.format(fmt).schema(schema).options(**opts)
         try:
-            loaded[_FIELD_OF[name]] = reader.load(f"{path.rstrip('/')}/{name}")
+            loaded[FIELD_OF[name]] = reader.load(f"{path.rstrip('/')}/{name}")
         except AnalysisException as missing:
             if name not in OPTIONAL or missing.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -96,14 +98,45 @@ def read_marketplace(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def from_catalog(spark: SparkSession, database: str) -> Tables:
     """Tables registered in a catalog database under the model names."""
-    return Tables(**{_FIELD_OF[name]: spark.table(f"{database}.{name}")
+    return Tables(**{FIELD_OF[name]: spark.table(f"{database}.{name}")
                      for name in schemas.SCHEMAS
                      if name not in OPTIONAL or spark.catalog.tableExists(f"{database}.{name}")})
 
 
+#: Tables that reports join on the order, and the key they are bucketed by.
+BUCKETED = {"orders": "order_id", "order_items": "order_id", "order_payments": "order_id",
+            "order_reviews": "order_id"}
+
+
+def save_bucketed(tables: Tables, database: str, buckets: int) -> None:
+    """Store the model as tables of catalog database ``database``, orders and
+    the tables that refer to them bucketed and sorted by ``order_id``: joins
+    and groups on it then need no shuffle (``from_catalog``).
+
+    A bucket is one file, written by one task.  An order that has more rows
+    than its share of a bucket is dealt out over several tasks, each of which
+    adds a file to its bucket; there are fewer such orders than buckets.
+    Choose ``buckets`` as for shuffle partitions of the largest table.
+    """
+    for name, df in tables.by_model_name().items():
+        key = BUCKETED.get(name)
+        if key is None:
+            df.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+            continue
+        counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+        total = counts.agg(F.sum("_n")).scalar()
+        hot = F.broadcast(counts.withColumn("_total", total).where(F.col("_n") * buckets > F.col("_total"))
+                          .select("_hot", F.ceil(F.col("_n") * buckets / F.col("_total")).alias("_salts")))
+        # a partition by the key is a bucket; a hot key's rows go to partitions of small numbers
+        salt = F.pmod(F.xxhash64(*df.columns), F.col("_salts")).cast(df.schema[key].dataType)
+        rows = (df.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left")
+                .repartition(buckets, F.when(F.col("_salts").isNull(), F.col(key)).otherwise(salt)).select(*df.columns))
+        rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{database}.{name}")
+
+
 def from_frames(spark: SparkSession, rows: dict[str, list]) -> Tables:
     """Tables built from in-memory rows with the declared schemas (hand fixtures)."""
-    return Tables(**{_FIELD_OF[name]: spark.createDataFrame(rows.get(name, []), schema)
+    return Tables(**{FIELD_OF[name]: spark.createDataFrame(rows.get(name, []), schema)
                      for name, schema in schemas.SCHEMAS.items()})
 
 

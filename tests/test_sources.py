@@ -1,17 +1,19 @@
 """Readers and the stored model: declared schemas round-trip."""
 
+import dataclasses
 import tempfile
 from datetime import datetime as T
 from decimal import Decimal as D
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from mercato.reports import REPORTS
 from mercato.session import build_session
 from mercato.sources import schemas
 from mercato.sources.binding import bind_star
-from mercato.sources.model import (files_for, from_catalog, from_frames, read_marketplace,
+from mercato.sources.model import (files_for, from_catalog, from_frames, read_marketplace, save_bucketed,
                                    write_marketplace)
 from test_fixtures import ROWS
 
@@ -137,3 +139,30 @@ def test_files_grow_with_the_input():
     assert files_for(0, 4) == 4
     assert files_for(10 << 30, 4) == 80
     assert files_for(100 << 40, 8) == 819_200
+
+
+def test_bucketed_tables_join_on_the_order_without_a_shuffle(spark, folder):
+    bound = bind_star(spark, "/root/testdata/sf0.001")
+    # an order with a third of the rows, and rows of no order
+    hot = bound.items.withColumn("order_item_id", F.col("order_item_id") + 100).withColumn("order_id", F.lit(1).cast("long"))
+    lost = bound.items.limit(40).withColumn("order_id", F.lit(None).cast("long"))
+    t = dataclasses.replace(bound, items=bound.items.union(hot).union(lost))
+    spark.sql(f"CREATE DATABASE mercato_buckets LOCATION '{folder}'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        save_bucketed(t, "mercato_buckets", buckets=8)
+        back = from_catalog(spark, "mercato_buckets")
+        for name in ("q24_aov_per_seller_as_written", "q39_aov_by_payment_method",
+                     "q44_avg_items_per_order_by_customer", "q26_avg_review_by_seller"):
+            df = REPORTS[name](back)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and "hashpartitioning(order_id" not in plan, name
+            assert _rows(df) == _rows(REPORTS[name](t)), name
+        assert back.items.count() == t.items.count()
+        files = back.items.inputFiles()
+        assert len(files) > 8  # the hot order's bucket has several
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.sql("DROP DATABASE mercato_buckets CASCADE")
