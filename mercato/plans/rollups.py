@@ -2,7 +2,11 @@
 
 A rollup holds sums and counts per (month, key): what reports divide, rank and
 add up is additive, so the months' partial results merge exactly, as decimals
-and counts.  ``refresh`` computes the given months from a store by month
+and counts.  Distinct counts are not additive; for these a rollup holds the
+distinct pairs of a month, whose union over the months is counted (a pair is a
+row of two ids; Spark's bitmaps would take 4 KB for each group and 32,768 ids,
+of which most groups here have a few).  An order is of one month, so distinct
+orders add up.  ``refresh`` computes the given months from a store by month
 (``sources.monthly``), reading only their files, and replaces them; a report
 then merges a row per month and key instead of all items or payments.
 """
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.plans import facts
+from mercato.plans.skew import skew_join
 from mercato.sources.model import Tables
 from mercato.sources.monthly import MONTH, read_by_month
 
@@ -41,8 +46,34 @@ def _by_category(t: Tables) -> DataFrame:
 
 
 def _by_seller(t: Tables) -> DataFrame:
-    return t.items.groupBy(MONTH, "seller_id").agg(
+    # an order is combined first, and is one row for each of its sellers
+    per_order = t.items.groupBy(MONTH, "seller_id", "order_id").agg(
         F.sum("price").alias("price_sum"), F.count("product_id").alias("units"), F.sum("freight_value").alias("freight"))
+    return per_order.withColumn("orders", F.when(F.col("order_id").isNotNull(), 1).otherwise(0)).drop("order_id")
+
+
+def _seller_products(t: Tables) -> DataFrame:
+    return t.items.select(MONTH, "seller_id", "product_id", F.lit(1).alias("n"))
+
+
+def _seller_categories(t: Tables) -> DataFrame:
+    pairs = t.items.select(MONTH, "seller_id", "product_id").distinct()
+    return (pairs.join(t.products.select("product_id", "product_category_name"), "product_id")
+            .select(MONTH, "seller_id", "product_category_name", F.lit(1).alias("n")))
+
+
+def _customer_sellers(t: Tables) -> DataFrame:
+    pairs = t.items.select(MONTH, "order_id", "seller_id").distinct()
+    return (pairs.join(t.orders.select("order_id", "customer_id"), "order_id")
+            .select(MONTH, "customer_id", "seller_id", F.lit(1).alias("n")))
+
+
+def _category_customers(t: Tables) -> DataFrame:
+    pairs = (t.items.select(MONTH, "order_id", "product_id").distinct()
+             .join(t.orders.select("order_id", "customer_id"), "order_id")
+             .select(MONTH, "product_id", "customer_id").distinct())
+    rows = skew_join(pairs, facts.english_categories(t), "product_id", ["customer_id"], weights=t.items)
+    return rows.select(MONTH, ENGLISH, "customer_id", F.lit(1).alias("n"))
 
 
 def _order_totals(t: Tables) -> DataFrame:
@@ -67,9 +98,14 @@ def _by_month(t: Tables) -> DataFrame:
 
 ROLLUPS: dict[str, Rollup] = {
     "category": Rollup([ENGLISH], ["price_sum", "price_n", "units"], _by_category),
-    "seller": Rollup(["seller_id"], ["price_sum", "units", "freight"], _by_seller),
+    "seller": Rollup(["seller_id"], ["price_sum", "units", "freight", "orders"], _by_seller),
     "state": Rollup(["customer_state"], ["paid", "paid_orders"], _by_state),
     "month": Rollup([], ["paid", "paid_orders", "orders", "payments"], _by_month),
+    # distinct pairs, and their rows
+    "seller_products": Rollup(["seller_id", "product_id"], ["n"], _seller_products),
+    "seller_categories": Rollup(["seller_id", "product_category_name"], ["n"], _seller_categories),
+    "customer_sellers": Rollup(["customer_id", "seller_id"], ["n"], _customer_sellers),
+    "category_customers": Rollup([ENGLISH, "customer_id"], ["n"], _category_customers),
 }
 
 

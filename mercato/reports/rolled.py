@@ -30,6 +30,14 @@ def _count(name: str, key: str, measure: str, shown: str):
     return _top(name, key, lambda: F.col(measure), shown)
 
 
+def _distinct(name: str, key: str, counted: str, shown: str, n: int = 10):
+    """The first ``n`` keys by their number of distinct ``counted`` (not NULL)."""
+    def report(spark: SparkSession, path: str) -> DataFrame:
+        counts = merged(spark, path, name).groupBy(key).agg(F.count(counted).alias(shown))
+        return top_n(counts, [desc(shown), asc(key)], n)
+    return report
+
+
 def _ranked_categories(spark: SparkSession, path: str) -> DataFrame:
     rank = F.dense_rank().over(Window.orderBy(desc("price_sum")))  # one row a category
     return merged(spark, path, "category").select(
@@ -92,6 +100,7 @@ def _cumulative_revenue(spark: SparkSession, path: str) -> DataFrame:
 
 
 ROLLED = {
+    "q05_top_sellers_by_unique_products": _distinct("seller_products", "seller_id", "product_id", "unique_products"),
     "q07_top_categories_by_revenue": _money("category", ENGLISH, "price_sum", "total_revenue"),
     "q09_top_sellers_by_revenue": _money("seller", "seller_id", "price_sum", "total_revenue"),
     "q10_top_states_by_sales": _money("state", "customer_state", "paid", "total_sales"),
@@ -101,6 +110,11 @@ ROLLED = {
     "q28_monthly_sales": _monthly_sales,
     "q29_monthly_aov": _monthly_aov,
     "q31_aov_by_state": _aov_by_state,
+    "q33_top_sellers_by_orders": _count("seller", "seller_id", "orders", "order_count"),
+    "q34_top_customers_by_distinct_sellers": _distinct("customer_sellers", "customer_id", "seller_id", "seller_count"),
+    "q35_top_sellers_by_category_breadth": _distinct(
+        "seller_categories", "seller_id", "product_category_name", "product_cat_count"),
+    "q36_top_categories_by_distinct_customers": _distinct("category_customers", ENGLISH, "customer_id", "customer_count"),
     "q40_top_sellers_by_freight": _money("seller", "seller_id", "freight", "shipping_charges"),
     "q51_state_revenue_share": _state_share,
     "q52_rank_categories_by_revenue": _ranked_categories,
