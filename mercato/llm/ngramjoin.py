@@ -6,11 +6,11 @@ Equal sets are one node.  Two nodes link when 100 x intersection is at least
 numbers.  The links are found by these steps, of which none loses a pair:
 
 * Screen.  Under one order of all n-grams (that of the hash), the first
-  x - ceil(p x) + m n-grams of two linked sets have at least m in common, with
-  the m of the smaller set.  A set whose first n-grams are shared with others,
-  whichever, in fewer than m cases has no partner.  This leaves the near copies
-  and the sets that mostly hold common passages, so only their n-grams, and of
-  the others a seventh, are ever shuffled.
+  x - ceil(p x) + m n-grams of two linked sets, their heads, have at least m in
+  common, with the m of the smaller set.  A set whose head has fewer than m
+  n-grams that other heads have, too, has no partner.  This leaves the near
+  copies and the sets that mostly hold common passages; of the others, only the
+  heads (a fifth of the n-grams at 90 percent) are ever shuffled.
 * Prefixes.  The n-grams of the sets that are left are ordered from rare to
   frequent by their number of sets, counted over all of these; those in one
   set come first of all.  The first x - ceil(p x) + 1 are a set's prefix, and
@@ -78,8 +78,8 @@ def least_shared(size, plan: Plan):
 
 
 def margin(size, plan: Plan):
-    """The screen's m: half of what a set may differ by."""
-    return _ceil_div(size * (100 - plan.percent), 200)
+    """The screen's m: as many n-grams as a set may differ by."""
+    return _ceil_div(size * (100 - plan.percent), 100)
 
 
 def ngram_sets(texts: pa.Array, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +109,7 @@ def _digests(run: np.ndarray, edge: np.ndarray) -> list[bytes | None]:
 
 def sketch(df: DataFrame, plan: Plan, text: str, key: str) -> DataFrame:
     """id, same (digest of the set, null if empty), size and, for the screen,
-    the first n-grams by hash of each row."""
+    its head, the first n-grams by hash, of each row."""
     schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("same", T.BinaryType()),
                            T.StructField("size", T.LongType()), T.StructField("head", T.ArrayType(T.LongType()))])
 
@@ -136,7 +136,7 @@ def screened(rows: DataFrame, plan: Plan) -> DataFrame:
     sets = (rows.where("size > 0 and id is not null").groupBy("same")
             .agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("head").alias("head")))
     least = F.ceil(F.col("size") * plan.percent / F.lit(100))
-    m = F.ceil(least * (100 - plan.percent) / F.lit(200))
+    m = F.ceil(least * (100 - plan.percent) / F.lit(100))
     heads = sets.select("id", m.alias("m"), F.explode("head").alias("ngram"))
     shared = heads.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ngram")
     met = heads.join(shared, "ngram").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m"))
@@ -264,8 +264,15 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 def join(df: DataFrame, text: str = "text", key: str = "doc_id", plan: Plan = Plan()) -> DataFrame:
     """key, n_shingles and component_id for each row of ``df``."""
     rows = Stored(sketch(df, plan, text, key), "sketch")
+    # of stored rows Spark knows the size, and does not shuffle the texts where they are few
+    ids = Stored(screened(rows.rows, plan), "ids")
+    reps = (rows.rows.where("size > 0 and id is not null").select("same", "id")
+            .groupBy("same").agg(F.min("id").alias("rep")))
+    known = Stored(rows.rows.select("id", "same", "size").join(reps, "same", "left")
+                   .select("id", "size", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "rows")
+    rows.drop()
     texts = df.select(column(df, key).alias("id"), column(df, text).alias("text"))
-    found = packed_sets(texts.join(screened(rows.rows, plan), "id", "left_semi"), plan, "text", "id")
+    found = packed_sets(texts.join(ids.rows, "id", "left_semi"), plan, "text", "id")
     sets = Stored(found.groupBy("same").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in (
         "size", "ngrams", "parts")]).drop("same").withColumn("node", F.monotonically_increasing_id()), "sets")
     postings = Stored(prefixes(sets.rows, plan), "postings")
@@ -275,15 +282,12 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", plan: Plan = Pl
     rest = open_pairs(postings.rows, labels.rows, sets.rows.select("node", "parts"), plan)
     more = Stored(verified(rest.join(tried.rows, ["a", "b"], "left_anti"), sets.rows, plan), "links")
     # from nodes to the smallest ids of their sets
-    ids = sets.rows.select("node", "id")
-    named = (links.rows.union(more.rows).join(ids.toDF("a", "id_a"), "a").join(ids.toDF("b", "id_b"), "b")
-             .where("id_a <> id_b").select("id_a", "id_b").toDF("a", "b"))
-    reps = rows.rows.where("size > 0 and id is not null").groupBy("same").agg(F.min("id").alias("rep"))
-    known = Stored(rows.rows.select("id", "same", "size").join(reps, "same", "left")
-                   .select("id", "size", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "rows")
+    named = sets.rows.select("node", "id")
+    between = (links.rows.union(more.rows).join(named.toDF("a", "id_a"), "a").join(named.toDF("b", "id_b"), "b")
+               .where("id_a <> id_b").select("id_a", "id_b").toDF("a", "b"))
     one_id = links_of_one_id(known.rows.where("id is not null").select("id", "rep"))
-    final = components(named.union(one_id))
-    for table in (rows, sets, postings, tried, links, labels, more):
+    final = components(between.union(one_id))
+    for table in (ids, sets, postings, tried, links, labels, more):
         table.drop()
     return (known.rows.join(final.rows.toDF("rep", "label"), "rep", "left")
             .select(F.col("id").alias(key), F.col("size").alias("n_shingles"),

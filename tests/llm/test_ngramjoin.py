@@ -55,7 +55,7 @@ def test_query_equals_all_pairs(spark):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("percent,n", [(90, 3), (80, 2), (60, 4)])
+@pytest.mark.parametrize("percent,n", [(90, 3), (60, 2)])
 def test_families(spark, percent, n):
     """Copies with different numbers of edits, chains, and texts over one
     passage, some of them above the threshold and some below."""
@@ -82,13 +82,6 @@ def test_families(spark, percent, n):
     assert found(frame(spark, rows), plan) == brute(rows, n, percent)
 
 
-def test_threshold_is_exact(spark):
-    """21 words: 19 n-grams; 18 of 20 in common is 90 percent, 17 of 21 is not."""
-    base = [f"a{i}" for i in range(21)]
-    rows = [(1, " ".join(base)), (2, " ".join(base[:20] + ["x"])), (3, " ".join(base[:19] + ["y", "z"]))]
-    assert found(frame(spark, rows)) == [(1, 19, 1), (2, 19, 1), (3, 19, 3)] == brute(rows)
-
-
 def test_many_texts_below_the_threshold_over_one_passage(spark):
     passage = " ".join(f"p{i}" for i in range(160))
     rows = []
@@ -112,7 +105,7 @@ def test_screen_keeps_every_set_with_a_partner(spark):
     df = frame(spark, rows)
     kept = {r.id for r in nj.screened(nj.sketch(df, nj.Plan(), "text", "doc_id"), nj.Plan()).collect()}
     linked = {i for i, _, c in brute(rows) for j, _, d in brute(rows) if i != j and c == d}
-    assert linked <= kept and len(kept) <= len(linked) + 10  # 100 of 200 have a partner
+    assert linked <= kept and len(kept) <= 100  # 100 of 200 have a copy with a change
 
 
 def test_suffix_parts_never_lose_a_pair():
@@ -123,11 +116,18 @@ def test_suffix_parts_never_lose_a_pair():
     assert np.abs(parts[0] - parts[1]).sum() <= len(np.setxor1d(x, y))
 
 
-def test_rows_of_one_id_are_one_document(spark):
+def test_rows_of_one_id_and_the_exact_threshold(spark):
+    """Rows of one id are one document.  Of 21 words, 19 n-grams: 18 of 20 in
+    common is 90 percent, 17 of 21 is not."""
     x, y, z = ("a b c d e f g", "t u v w x y z", "one two three")
-    rows = [(3, x), (5, x), (5, y), (2, y), (9, z), (9, None), (4, None), (4, z), (None, x), (8, "Q"), (7, "q")]
-    assert found(frame(spark, rows)) == brute(rows)
-    assert {c for i, _, c in found(frame(spark, rows)) if i in (2, 3, 5)} == {2}
+    base = [f"a{i}" for i in range(21)]
+    rows = [(3, x), (5, x), (5, y), (2, y), (9, z), (9, None), (4, None), (4, z), (None, x), (8, "Q"), (7, "q"),
+            (21, " ".join(base)), (22, " ".join(base[:20] + ["x"])), (23, " ".join(base[:19] + ["y", "z"]))]
+    got = found(frame(spark, rows))
+    assert got == brute(rows)
+    of = {i: c for i, _, c in got}
+    assert of[2] == of[3] == of[5] == 2 and of[4] == of[9] == 4
+    assert (of[21], of[22], of[23]) == (21, 21, 23)
 
 
 def test_links_of_one_id(spark):
