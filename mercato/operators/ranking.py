@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.plans.dimension import SALTS, dimension_join
-from mercato.plans.positions import group_dense_rank, lag_by_position, running_sum, scalable_ntile
+from mercato.plans.positions import group_dense_rank, lag_by_position, pinned, running_sum, scalable_ntile
 
 __all__ = ["top_n", "dense_rank_at_most", "latest_per_key", "scalable_ntile",
            "group_dense_rank", "lag_by_position", "running_sum"]
@@ -37,8 +37,10 @@ def dense_rank_at_most(df: DataFrame, partition: list[str], value: str, k: int,
     The distinct (partition, value) pairs are ranked: first within salted
     shares of a partition, of which each keeps its k best, then among those
     that are left.  The at most k pairs of a partition are joined to the rows,
-    salted by a hash of ``spread_by``, the rows' key.
+    salted by a hash of ``spread_by``, the rows' key.  Both read the rows from
+    one exchange (``pinned``).
     """
+    df = pinned(df)
     values = df.select(*partition, value).distinct()
     best = F.col(value).desc_nulls_last()
     share = F.pmod(F.xxhash64(value), F.lit(SALTS))

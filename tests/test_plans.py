@@ -134,3 +134,12 @@ def test_integrity_report_scans_items_at_most_twice(shuffled):
     plan = df._jdf.queryExecution().executedPlan().toString()
     # order_items and order_payments are bound to lineitem, each read twice
     assert len(re.findall(r"FileScan parquet .*lineitem", plan)) <= 4
+
+
+@pytest.mark.parametrize("name", ["q53_top_seller_per_state", "q54_top_categories_per_state", "q58_top_spenders",
+                                  "q59_top_spenders_per_city", "q60_order_value_change",
+                                  "q63_spending_quartiles", "q66_customer_scorecard"])
+def test_ranks_and_bucketed_windows_read_their_input_once(shuffled, name):
+    plan = plan_of(shuffled, name)
+    assert len(re.findall(r"FileScan parquet .*lineitem", plan)) == 1, name
+    assert "ReusedExchange" in plan
