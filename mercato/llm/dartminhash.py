@@ -15,8 +15,8 @@ Signatures are cut into bands; texts that share a band's key are candidates.
 Within a key no pairs are enumerated: each text is paired with the key's
 centre, the text that meets most others over all its keys (the original among
 its copies), and the pairs are checked exactly on their sets.  Classes are the
-connected components of the confirmed links; labels spread over joins, with
-checkpoints.  Where a key still holds several classes, its texts are dealt
+connected components of the confirmed links; labels spread over joins.  Steps
+are stored in the shared folder, and deleted once no later one reads them.  Where a key still holds several classes, its texts are dealt
 into lots, and paired with the centres of all lots that are of another class:
 nearly all pairs of a small key, a linear number of a large one's.  Centres
 only merge classes early.  The texts of keys that then still hold several
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mercato.llm import _links
 from mercato.llm._arrow import binary_array, column, list_array, slices, tidy
-from mercato.llm._store import checkpointed
+from mercato.llm._store import Stored
 from mercato.llm._words import NOT_ALNUM, Words, chain, mix
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -233,14 +235,16 @@ def similarity(a: bytes, b: bytes, wa: bytes = b"", wb: bytes = b"") -> float:
     return low / high if high else 0.0
 
 
-def buckets(sets: DataFrame) -> DataFrame:
+def buckets(sets: DataFrame) -> Stored:
     """key, id, met of the bands' keys that several of ``sets`` have; met:
     how many sets the id meets in all its keys."""
     banded = sets.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = checkpointed(banded.join(shared, "key"))
-    met = rows.groupBy("id").agg(F.sum("n").alias("met"))
-    return checkpointed(rows.select("key", "id").join(met, "id"))
+    rows = Stored(banded.join(shared, "key"), "keys")
+    met = rows.rows.groupBy("id").agg(F.sum("n").alias("met"))
+    found = Stored(rows.rows.select("key", "id").join(met, "id"), "keys")
+    rows.drop()
+    return found
 
 
 def candidates(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -257,7 +261,7 @@ def candidates(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         split = (rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"),
                                          F.count(F.lit(1)).alias("n")).where("l <> h"))
         lots = F.greatest(F.lit(2), F.least(F.lit(16), F.floor(F.lit(256) / F.col("n"))))
-        rows = checkpointed(rows.join(split.select("key", lots.cast("int").alias("lots")), "key"))
+        rows = rows.join(split.select("key", lots.cast("int").alias("lots")), "key")
     lot = F.pmod(F.xxhash64("id", "key"), F.col("lots"))
     best = F.max_by(F.struct("id", "label"), F.struct("met", F.xxhash64("id")))
     hubs = (rows.groupBy("key", lot.alias("lot")).agg(best.alias("c"))
@@ -266,7 +270,7 @@ def candidates(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
             .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
 
 
-def postings(rows: DataFrame, labels: DataFrame, sizes: DataFrame, packed: DataFrame, plan: Plan) -> DataFrame:
+def postings(rows: DataFrame, labels: DataFrame, sizes: DataFrame, packed: DataFrame, plan: Plan) -> Stored:
     """element, n, id, label, size, rest: for the ids of keys that hold several
     labels, the elements by which they may be similar to ids of another label.
     Elements that only one label has come first in every set, then the others
@@ -293,8 +297,8 @@ def postings(rows: DataFrame, labels: DataFrame, sizes: DataFrame, packed: DataF
                                                   pa.array(element), pa.array(weight)], names=schema.names)
 
     # read twice, which costs less than to store an element a row
-    sets = checkpointed(sets.select("id", "label", "elements", "weights"))
-    elements = sets.mapInArrow(tidy(explode), schema)
+    sets = Stored(sets.select("id", "label", "elements", "weights"), "open")
+    elements = sets.rows.mapInArrow(tidy(explode), schema)
     shared = (elements.groupBy("element").agg(F.min("label").alias("l"), F.max("label").alias("h"),
                                               F.count(F.lit(1)).alias("n")).where("l <> h"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
@@ -302,8 +306,10 @@ def postings(rows: DataFrame, labels: DataFrame, sizes: DataFrame, packed: DataF
              .join(shared.select("element", "n", salts), ["element", "salt"]).drop("salt"))
     behind = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("element")).rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("rest", F.sum("w").over(behind)).join(sizes, "id")
-    return checkpointed(found.where(F.col("rest") >= plan.similarity * _SLACK * F.col("size"))
-                        .select("element", "n", "id", "label", "size", "rest"))
+    kept = Stored(found.where(F.col("rest") >= plan.similarity * _SLACK * F.col("size"))
+                  .select("element", "n", "id", "label", "size", "rest"), "postings")
+    sets.drop()
+    return kept
 
 
 def rest_pairs(found: DataFrame, plan: Plan) -> DataFrame:
@@ -350,49 +356,42 @@ def confirmed(pairs: DataFrame, sizes: DataFrame, packed: DataFrame, plan: Plan)
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label) for every id in ``links`` (a, b): the smallest id of its
-    connected component.  Each round takes the neighbours' smallest label and
-    then the label's own label, until nothing changes."""
-    edges = checkpointed(links.union(links.select("b", "a")).toDF("id", "other").distinct())
-    labels = checkpointed(edges.groupBy("id").agg(F.min("other").alias("m"))
-                          .select("id", F.least("id", "m").alias("label")))
-    while True:
-        near = (edges.join(labels.toDF("other", "label"), "other")
-                .groupBy("id").agg(F.min("label").alias("m")))
-        lower = labels.join(near, "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("was"))
-        jump = labels.toDF("label", "further")
-        after = checkpointed(lower.join(jump, "label", "left").select(
-            "id", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
-        changed = after.where("label <> was").limit(1).count()
-        labels = after.select("id", "label")
-        if not changed:
-            return labels
+    connected component."""
+    return _links.components(links).rows
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", plan: Plan = Plan()) -> DataFrame:
     """key, class_id and kept for each row of ``df``."""
-    rows = checkpointed(sketch(df, plan, text, key).withColumnRenamed(key, "id"))
-    sets = (rows.where("id is not null").groupBy("same")
-            .agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    sets = checkpointed(sets)
-    rows_of_keys = buckets(sets.where("size > 0"))
-    used = rows_of_keys.select("id").distinct()
-    texts = df.select(column(df, key).alias("id"), column(df, text).alias("text")).join(used, "id", "left_semi")
-    packed = checkpointed(_sets(texts, plan, "text", "id"))
-    sizes = sets.select("id", "size")
-    # rows of one id are one document: their sets are linked
-    again = (rows.where("id is not null").join(sets.select("same", F.col("id").alias("rep")), "same")
-             .where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
-    links = again.join(sets.select(F.col("id").alias("b")), "b").select("a", "b")
-    labels = None
-    for _ in range(plan.rounds):
-        links = checkpointed(links.union(confirmed(candidates(rows_of_keys, labels), sizes, packed, plan)))
-        labels = components(links)
-    if labels is not None:
-        rest = rest_pairs(postings(rows_of_keys, labels, sizes, packed, plan), plan)
-        more = checkpointed(confirmed(rest, sizes, packed, plan))
-        labels = components(links.union(more))
-    classes = (sets.select("same", "id").join(labels, "id", "left")
+    rows = Stored(sketch(df, plan, text, key).withColumnRenamed(key, "id"), "sketch")
+    known = rows.rows.where("id is not null")
+    sets = Stored(known.groupBy("same").agg(
+        F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "sets")
+    shared = buckets(sets.rows.where("size > 0"))
+    # of stored rows Spark knows the size, and does not shuffle the texts where they are few
+    used = Stored(shared.rows.select("id").distinct(), "ids")
+    texts = df.select(column(df, key).alias("id"), column(df, text).alias("text")).join(used.rows, "id", "left_semi")
+    packed = Stored(_sets(texts, plan, "text", "id"), "packed")
+    sizes = sets.rows.select("id", "size")
+    reps = sets.rows.select("same", F.col("id").alias("rep"))
+    # rows of one id are one document: all the ids that stand for its texts are linked
+    one_id = _links.links_of_one_id(known.select("id", "same").join(reps, "same").select("id", "rep"))
+    links = [Stored(one_id, "links")]
+    labels = _links.components(links[0].rows)
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal labels
+        links.append(Stored(confirmed(pairs, sizes, packed.rows, plan), "links"))
+        before, labels = labels, _links.components(reduce(DataFrame.union, [x.rows for x in links]))
+        before.drop()
+
+    for step in range(plan.rounds):
+        link(candidates(shared.rows, labels.rows if step else None))
+    open_ = postings(shared.rows, labels.rows, sizes, packed.rows, plan)
+    link(rest_pairs(open_.rows, plan))
+    for table in (shared, used, packed, open_, *links):
+        table.drop()
+    classes = (sets.rows.select("same", "id").join(labels.rows, "id", "left")
                .select("same", F.coalesce("label", "id").alias("class_id")))
-    found = rows.select("id", "same").join(classes, "same", "left").select(
+    found = rows.rows.select("id", "same").join(classes, "same", "left").select(
         F.col("id").alias(key), F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
     return found.withColumn("kept", F.col(key).isNull() | (F.col(key) == F.col("class_id")))

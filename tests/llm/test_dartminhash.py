@@ -116,3 +116,22 @@ def test_rows_of_one_id_are_one_document(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "u v w x y z"), (3, "u v w x y z"), (9, "a b c d e f")],
                                "doc_id long, text string")
     assert sorted((r.doc_id, r.class_id) for r in dm.near_duplicates(df).collect()) == [(3, 3), (5, 3), (5, 3), (9, 3)]
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_texts_of_one_id_link_what_stands_for_them(spark, rounds):
+    """An id that stands for none of its own texts, and a chain of such ids."""
+    x, y = "a b c d e f", "u v w x y z"
+    texts = [f"chain {i} of some words that repeat nowhere else{i}" for i in range(8)]
+    rows = [(3, x), (5, x), (5, y), (2, y)]
+    rows += [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, t) for i in range(7) for t in texts[i:i + 2]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dm.near_duplicates(df, plan=dm.Plan(rounds=rounds)).collect()
+    assert {(r.doc_id, r.class_id) for r in got} == {(i, 2 if i < 100 else 100) for i, _ in rows}
+    assert {r.doc_id for r in got if r.kept} == {2, 100}
+
+
+def test_the_exact_finish_alone_links_what_shares_a_band(spark):
+    texts = {r.doc_id: r.text for r in documents(spark).collect()}
+    rows = dm.near_duplicates(documents(spark), plan=dm.Plan(rounds=0)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(texts)
