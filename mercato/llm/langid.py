@@ -154,8 +154,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
     counts = (rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
               .mapInArrow(tidy(count), schema).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return (counts.withColumn("rank", F.row_number().over(order) - 1)
-            .where(F.col("rank") < size).select("lang", "gram", "rank"))
+    # a limit on the row number itself: each task passes on no more than ``size`` rows of a language
+    return (counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size)
+            .select("lang", "gram", (F.col("place") - 1).alias("rank")))
 
 
 @dataclass

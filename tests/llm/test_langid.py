@@ -98,3 +98,8 @@ def test_edge_cases(spark):
     assert langid.predict(empty(spark), learned).count() == 0
     nothing = langid.Profiles.collect(langid.learn(empty(spark)))
     assert {r.lang_pred for r in langid.predict(edge(spark), nothing).collect()} == {"und"}
+
+
+def test_profiles_are_limited_before_the_shuffle(spark):
+    plan = langid.learn(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
