@@ -10,9 +10,11 @@ the word before).
 
 Fitting: on at most ``bound`` rated rows, those with the smallest hash of id
 and text.  Their features are hashed by Spark into a checkpointed table;
-``rounds`` times, each of ``parts`` tasks runs one epoch of Adagrad from the
-common parameters over its part, and the parameters are averaged.  What
-reaches the driver is ``parts`` vectors of 2^18 numbers.
+the features that tell grades apart are chosen in tasks, a range of features
+each.  ``rounds`` times, each of ``parts`` tasks runs one epoch of Adagrad from
+the common parameters over its part, and the parameters are averaged.  What
+reaches the driver is the chosen features' places, and ``parts`` vectors with a
+number for each of them, not for all 2^18.
 
 Cases: a null or empty text has no features, so its score is 0 and its grade
 follows from the thresholds; rated rows with a null grade teach nothing;
@@ -134,16 +136,18 @@ def _epoch(rows: list[tuple], weights: np.ndarray, thresholds: np.ndarray, rate:
     return weights, thresholds
 
 
-def _telling(have: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
-    """The features to use, from have[grade, feature] of rows[grade]: all
-    shapes, and the words of a chi-square of ``least`` or more."""
+def _telling(have: np.ndarray, rows: np.ndarray, least: float, first: int) -> np.ndarray:
+    """The features to use, from have[grade, feature] of rows[grade], of which
+    the first is feature ``first``: all shapes that occur, and the words of a
+    chi-square of ``least`` or more."""
     total, with_it = rows.sum(), have.sum(0)
     expected = with_it[None, :] * rows[:, None] / total
     spread = expected * (1 - with_it[None, :] / total) * (1 - rows[:, None] / total)
     chi = ((have - expected) ** 2 / np.maximum(spread, 1e-9)).max(0)
     use = (chi >= least) & (with_it >= 3)
-    use[_WORDS:] = True
-    return use
+    shapes = max(_WORDS - first, 0)
+    use[shapes:] = with_it[shapes:] > 0
+    return first + np.flatnonzero(use)
 
 
 def fit(rated: DataFrame, grades: int, text: str = "text", grade: str = "grade",
@@ -188,37 +192,51 @@ def fit(rated: DataFrame, grades: int, text: str = "text", grade: str = "grade",
     if not total:
         return Model(np.zeros(_DIM), np.linspace(-1, 1, grades - 1))
     importance = {g: (total / (len(share) * c)) ** 0.5 for g, c in share.items()}
-    schema = T.StructType([T.StructField("found", T.BinaryType()), T.StructField("n", T.LongType())])
+    answer = T.StructType([T.StructField("found", T.BinaryType()), T.StructField("n", T.LongType())])
 
-    def answer(found: np.ndarray, n: int) -> pa.Table:
-        return pa.Table.from_arrays([binary_array([found.tobytes()]), pa.array([n], pa.int64())],
-                                    names=schema.names)
+    def found(vectors: list[np.ndarray], numbers: list[int]) -> pa.Table:
+        return pa.Table.from_arrays([binary_array([v.tobytes() for v in vectors]), pa.array(numbers, pa.int64())],
+                                    names=answer.names)
+
+    # n is the number of a range of features, then the rows of a part
+    edges = np.linspace(0, _DIM, parts + 1).astype(int)
+    rows_of = np.array([share.get(g, 0) for g in range(grades)])
 
     def count(part):
         have = [np.frombuffer(p, np.int32) + g * _DIM for g, p in zip(
             part.column("grade").to_pylist(), part.column("place").to_pylist())]
-        return answer(np.bincount(np.concatenate(have), minlength=grades * _DIM).astype(np.int32),
-                      part.num_rows)
-
-    counted = table.groupBy("part").applyInArrow(count, schema).collect()
-    telling = _telling(sum(np.frombuffer(r["found"], np.int32).astype(float) for r in counted)
-                       .reshape(grades, _DIM), np.array([share.get(g, 0) for g in range(grades)]), least)
-    common = spark.sparkContext.broadcast(telling)
+        have = np.bincount(np.concatenate(have), minlength=grades * _DIM).astype(np.int32).reshape(grades, _DIM)
+        return found([have[:, a:b] for a, b in zip(edges, edges[1:])], list(range(parts)))
+
+    def choose(counts):
+        k = counts.column("n")[0].as_py()
+        have = sum(np.frombuffer(c, np.int32).astype(float) for c in counts.column("found").to_pylist())
+        return found([_telling(have.reshape(grades, -1), rows_of, least, int(edges[k])).astype(np.int32)], [k])
+
+    chosen = (table.groupBy("part").applyInArrow(count, answer)
+              .groupBy("n").applyInArrow(choose, answer).collect())
+    places = np.sort(np.concatenate([np.frombuffer(r["found"], np.int32) for r in chosen]))
+    common = spark.sparkContext.broadcast(places)
+    weights, thresholds = np.zeros(len(places)), model.thresholds
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((model.weights, model.thresholds))
+        shared = spark.sparkContext.broadcast((weights, thresholds))
 
         def train(part):
+            number = np.full(_DIM, -1)
+            number[common.value] = np.arange(len(common.value))
             rows = []
             for g, p, v in zip(*(part.column(c).to_pylist() for c in ("grade", "place", "value"))):
-                place, value = np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)
-                use = common.value[place]
+                place, value = number[np.frombuffer(p, np.int32)], np.frombuffer(v, np.float32)
+                use = place >= 0
                 rows.append((place[use], value[use].astype(float), g, importance[g]))
-            return answer(np.concatenate(_epoch(rows, *shared.value, rate / (1 + k), decay, k)), len(rows))
+            return found([np.concatenate(_epoch(rows, *shared.value, rate / (1 + k), decay, k))], [len(rows)])
 
-        got = table.groupBy("part").applyInArrow(train, schema).collect()
+        got = table.groupBy("part").applyInArrow(train, answer).collect()
         size = np.array([r["n"] for r in got], float)
         mean = sum(np.frombuffer(r["found"]) * (s / size.sum()) for r, s in zip(got, size))
-        model = Model(mean[:_DIM].copy(), np.maximum.accumulate(mean[_DIM:]))
+        weights, thresholds = mean[:len(places)].copy(), np.maximum.accumulate(mean[len(places):])
+    model = Model(np.zeros(_DIM), thresholds)
+    model.weights[places] = weights
     return model
 
 

@@ -37,6 +37,39 @@ def test_grades_are_ordered_and_learned(spark):
     assert np.allclose(model.thresholds, again.thresholds, atol=0.3)
 
 
+def test_fit_sends_the_driver_the_chosen_features_alone(spark, monkeypatch):
+    rows = [(i, " ".join(["base", "bad" if i % 3 == 0 else "good" if i % 3 == 2 else "so", f"noise{i % 50}"]), i % 3)
+            for i in range(600)]
+    rated = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    sent, collect = [], type(rated).collect
+
+    def counted(self):
+        out = collect(self)
+        sent.append(sum(len(v) for r in out for v in r if isinstance(v, (bytes, bytearray))))
+        return out
+
+    monkeypatch.setattr(type(rated), "collect", counted)
+    model = ordinal.fit(rated, 3)
+    # 8 vectors of 2^18 numbers are 17 MB, the counts by grade 25 MB
+    assert max(sent) < 100_000
+    word = ordinal.features(pa.array(["bad"]))[1]
+    assert model.weights.shape == (ordinal._DIM,) and model.weights[word[word < ordinal._WORDS]].item() < 0
+    assert np.isfinite(model.weights).all() and 0 < np.count_nonzero(model.weights) < 100
+
+
+def test_features_are_chosen_alike_in_ranges():
+    rng = np.random.default_rng(3)
+    rows, have = np.array([40, 60, 20]), np.zeros((3, ordinal._DIM))
+    some = rng.choice(ordinal._DIM, 3000, replace=False)
+    have[:, some] = rng.integers(0, rows[:, None] + 1, (3, 3000))
+    edges = np.linspace(0, ordinal._DIM, 9).astype(int)
+    parts = [ordinal._telling(have[:, a:b], rows, 20.0, int(a)) for a, b in zip(edges, edges[1:])]
+    whole = ordinal._telling(have, rows, 20.0, 0)
+    assert np.array_equal(np.concatenate(parts), whole)
+    shapes = whole[whole >= ordinal._WORDS]
+    assert set(shapes) == {p for p in some if p >= ordinal._WORDS and have[:, p].any()}
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
