@@ -9,6 +9,7 @@ no calendar spine (Q55, Q56), repeat customers (Q65), timestamp ties (Q57),
 binary city comparison (Q59), exact half-up rounding (Q6), empty tables.
 """
 
+import dataclasses
 from datetime import datetime as T
 from decimal import Decimal as D
 
@@ -340,3 +341,11 @@ def test_collation_merges_the_ranks_of_two_spellings(spark):
     assert [(r[0], r[1], r[7]) for r in rows(advanced.customer_scorecard(t, city_collation="UNICODE_CI_AI"))] == [
         ("p1", "São Paulo", 2), ("p2", "São Paulo", 1)]
     assert [r[7] for r in rows(advanced.customer_scorecard(t))] == [1, 1]
+
+
+def test_q26_q37_an_order_listed_twice_counts_once_and_weighs_alike(t):
+    twice = dataclasses.replace(t, orders=t.orders.unionByName(t.orders))
+    for least in (1, 2):
+        assert rows(reviews.avg_review_by_seller_min_orders(twice, least)) == rows(
+            reviews.avg_review_by_seller_min_orders(t, least))
+    assert rows(reviews.avg_review_by_seller(twice)) == rows(reviews.avg_review_by_seller(t)) != []

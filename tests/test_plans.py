@@ -114,6 +114,12 @@ def test_rows_are_reduced_before_they_meet_a_hot_key(shuffled, name, key):
     assert facts and all("Aggregate" in c for c in facts), (name, children)
 
 
+@pytest.mark.parametrize("name", ["q26_avg_review_by_seller", "q37_avg_review_by_seller_min_orders"])
+def test_the_join_of_seller_reviews_keeps_no_table_by_order(shuffled, name):
+    above = re.split(r"SortMergeJoin|HashJoin", plan_of(shuffled, name))[0]
+    assert "seller_id" in above and not re.search(r"Aggregate\(keys=\[[^\]]*order_id", above), above
+
+
 def test_latest_order_is_combined_before_the_shuffle(shuffled):
     plan = plan_of(shuffled, "q57_latest_order_per_customer")
     assert "partial_max" in plan and "Window" not in plan
