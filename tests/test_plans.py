@@ -120,6 +120,14 @@ def test_the_join_of_seller_reviews_keeps_no_table_by_order(shuffled, name):
     assert "seller_id" in above and not re.search(r"Aggregate\(keys=\[[^\]]*order_id", above), above
 
 
+def test_category_orders_are_summed_once(shuffled):
+    plan = plan_of(shuffled, "q32_avg_category_revenue_per_order")
+    assert not re.search(r"Aggregate\(keys=\[product_id#\w+, order_id#", plan), plan
+    # after the items are dealt out, not by the tasks that read them
+    dealt = re.search(r"Exchange hashpartitioning\(product_category_name#\w+, order_id#.*REPARTITION_BY_NUM", plan)
+    assert dealt and not re.search(r"Aggregate\(keys=\[[^\]]*order_id", plan[dealt.end():]), plan
+
+
 def test_latest_order_is_combined_before_the_shuffle(shuffled):
     plan = plan_of(shuffled, "q57_latest_order_per_customer")
     assert "partial_max" in plan and "Window" not in plan
